@@ -175,7 +175,8 @@ def stored(text: Column, row: int = ROW_BYTES) -> Column:
     def store(texts: pa.Array) -> pa.Array:
         return pa.array([write_png(padded(t or b"", row), row) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
-    return store(text)
+    # Marked so that the images are made once, not again for every use behind.
+    return store.asNondeterministic()(text)
 
 
 def read_back(media: Column) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import language_unigrams, media_png, sentencepiece_bpe, source_mixing, toxicity_compression, warc_bundles
+from kgloom.llm import language_unigrams, media_png, ngram_jaccard, sentencepiece_bpe, source_mixing, toxicity_compression, warc_bundles, weighted_sampling
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -80,6 +80,26 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_jaccard.similar_groups(table(spark, sf_dir, "documents"), ngram_jaccard.Join(words=4, num=85, den=100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(1, greatest(1, len(ws) - 3) + 1), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+b AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) m ON m.v = d.doc_id
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sentencepiece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     both = sentencepiece_bpe.decode(docs.select("doc_id", "ids"), PIECES)
@@ -107,6 +127,10 @@ FROM q
 """
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.compared(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4, 2)
@@ -125,9 +149,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
+    "op4_jaccard": op4_jaccard,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
+    "op7_fingerprint": op7_fingerprint,
     "op8_language": op8_language,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op6_warc": OP6_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL, "op6_warc": OP6_SQL}
