@@ -17,8 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from kgloom.llm.arrow_batches import with_columns
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -168,42 +170,29 @@ def dct_hash(rows: np.ndarray, step: int = 1) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def stored(text: Column, row: int = ROW_BYTES) -> Column:
-    """PNG of a text's padded UTF-8 bytes, as a binary column."""
-
-    @F.arrow_udf("binary")
-    def store(texts: pa.Array) -> pa.Array:
-        return pa.array([write_png(padded(t or b"", row), row) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
-
-    # Marked so that the images are made once, not again for every use behind.
-    return store.asNondeterministic()(text)
-
-
-def read_back(media: Column) -> Column:
-    """Payload, shape, hash and status of a binary column of PNGs."""
+_IMAGE = pa.struct([("payload", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("dct_hash", pa.binary()), ("status", pa.string())])
 
-    @F.arrow_udf(READ_TYPE)
-    def read(images: pa.Array) -> pa.Array:
-        rows = []
-        for image in images.to_pylist():
-            if image is None:
-                rows.append({"status": "null"})
-                continue
-            try:
-                samples, width, step = read_png(image)
-            except ValueError as e:
-                rows.append({"status": str(e)})
-                continue
-            rows.append({"payload": samples.tobytes(), "width": width, "height": len(samples), "channels": step, "dct_hash": dct_hash(samples, step), "status": "ok"})
-        kind = pa.struct([("payload", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("dct_hash", pa.binary()), ("status", pa.string())])
-        return pa.array(rows, kind)
 
-    return read(media)
+def store_media(df: DataFrame, text: str = "text", into: str = "media", row: int = ROW_BYTES) -> DataFrame:
+    """``df`` with the PNG of each text's padded UTF-8 bytes in the binary column ``into``."""
 
+    def work(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([write_png(padded(t or b"", row), row) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())]
 
-def store_media(df: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
-    return df.withColumn(into, stored(F.col(text)))
+    return with_columns(df, text, [T.StructField(into, T.BinaryType())], work)
 
 
 def read_media(df: DataFrame, media: str = "media", into: str = "image") -> DataFrame:
-    return df.withColumn(into, read_back(F.col(media)))
+    """``df`` with payload, shape, hash and status of the PNGs of a binary column."""
+
+    def one(image: bytes | None) -> dict:
+        if image is None:
+            return {"status": "null"}
+        try:
+            samples, width, step = read_png(image)
+        except ValueError as e:
+            return {"status": str(e)}
+        return {"payload": samples.tobytes(), "width": width, "height": len(samples), "channels": step, "dct_hash": dct_hash(samples, step), "status": "ok"}
+
+    kind = T.StructType.fromDDL(READ_TYPE.removeprefix("struct<").removesuffix(">").replace(":", " "))
+    return with_columns(df, media, [T.StructField(into, kind)], lambda images: [pa.array([one(x) for x in images.to_pylist()], _IMAGE)])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import language_unigrams, media_png, ngram_jaccard, sentencepiece_bpe, source_mixing, toxicity_compression, warc_bundles, weighted_sampling
+from kgloom.llm import language_unigrams, license_rules, media_png, ngram_jaccard, secret_forest, sentencepiece_bpe, source_mixing, toxicity_compression, warc_bundles, weighted_sampling
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -80,6 +80,11 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_forest.findings(table(spark, sf_dir, "documents"), secret_forest.fit(spark))
+    return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), "chance", "is_secret")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard.similar_groups(table(spark, sf_dir, "documents"), ngram_jaccard.Join(words=4, num=85, den=100))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -139,6 +144,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scanned(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(F.col("doc_id"), 3, 1)
@@ -149,11 +158,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
+    "op3_secrets": op3_secrets,
     "op4_jaccard": op4_jaccard,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
     "op7_fingerprint": op7_fingerprint,
     "op8_language": op8_language,
+    "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL, "op6_warc": OP6_SQL}
