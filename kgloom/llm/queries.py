@@ -106,8 +106,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r G
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sentencepiece_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    both = sentencepiece_bpe.decode(docs.select("doc_id", "ids"), PIECES)
+    both = sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -21,15 +21,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from kgloom.llm.arrow_batches import with_columns
 
 SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
 LONG_WORD = 48
 #: Characters of text encoded together, and words remembered by a worker; both bound memory only.
-CHUNK_CHARS = 4_000_000
-MEMO_WORDS = 200_000
+CHUNK_CHARS = 1_000_000
+MEMO_WORDS = 150_000
 
 codecs.register_error("kgloom_each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -81,7 +84,7 @@ class PieceModel:
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
         self.piece_bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.spaced = np.array([i in text and pieces[i][:1] == SPACE for i in range(size)])
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
 
     def _hash_pairs(self) -> None:
         """Open addressing over the pairs: lookups cost a probe or two instead of a binary search."""
@@ -119,8 +122,8 @@ class PieceModel:
             todo, keys, at = todo[go], keys[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return ranks, results
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, in the same order."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, in the same order, as the bytes of 32-bit numbers."""
         if not words:
             return []
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -198,7 +201,7 @@ class PieceModel:
         ok[many] = before == base
         return hits[ok]
 
-    def _ids(self, symbol, word, points, n: int) -> list[np.ndarray]:
+    def _ids(self, symbol, word, points, n: int) -> list[bytes]:
         unknown = np.flatnonzero(symbol < 0)
         if len(unknown):
             raw = [chr(c).encode("utf-8", "replace") for c in points[unknown]]
@@ -211,8 +214,9 @@ class PieceModel:
             ids[spots] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         else:
             ids = symbol
-        ends = np.searchsorted(word, np.arange(n + 1))
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        ends = (4 * np.searchsorted(word, np.arange(n + 1))).tolist()
+        raw = ids.astype(np.int32).tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with the end id behind each text, and the offsets of the texts."""
@@ -225,7 +229,7 @@ class PieceModel:
                 group, chars = [], 0
         self._encode_group(group, flat, counts)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        return np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32), offsets
+        return np.frombuffer(b"".join(flat), np.int32), offsets
 
     def _encode_group(self, texts: list[str], flat: list, counts: list) -> None:
         split = [_WORDS((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
@@ -234,17 +238,23 @@ class PieceModel:
         if len(memo) + len(new) > MEMO_WORDS:
             memo = {w: memo[w] for w in used & memo.keys()}
         memo.update(zip(new, self.encode_words(new)))
-        end = np.array([self.eos], np.int32)
+        end = np.int32(self.eos).tobytes()
         for ws in split:
-            parts = [memo[w] for w in ws]
-            parts.append(end)
-            ids = np.concatenate(parts)
+            ids = b"".join([memo[w] for w in ws]) + end
             flat.append(ids)
-            counts.append(len(ids))
+            counts.append(len(ids) // 4)
         self.words = memo if len(memo) <= MEMO_WORDS else {}
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of flat ids; the space that encoding puts before a text is taken off again."""
+        texts, a = [], 0
+        while a < len(offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_CHARS, side="right")) - 1)
+            texts += self._decoded(ids[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            a = b
+        return texts
+
+    def _decoded(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         ids = np.asarray(ids, np.int64)
         if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
             raise ValueError("an id is outside the vocabulary")
@@ -253,7 +263,7 @@ class PieceModel:
         source = np.arange(ends[-1]) + np.repeat(self.piece_at[ids] - ends[:-1], width)
         data = self.piece_bytes[source].tobytes()
         texts = []
-        for a, b in zip(offsets[:-1], offsets[1:]):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             at = ends[a]
             shown = a
             while shown < b and width[shown] == 0:
@@ -273,37 +283,35 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """Ids of a text as ``array<int>``, the end id last."""
+_IDS = T.ArrayType(T.IntegerType())
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        ids, offsets = model(path).encode(texts.to_pylist())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
-    return encode(text)
+def _encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    ids, offsets = model(path).encode(texts.to_pylist())
+    return ids, offsets, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """Text of an ``array<int>`` of ids."""
+def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """``df`` with the ids of its texts, the end id last, in column ``into``."""
+    return with_columns(df, text, [T.StructField(into, _IDS)], lambda texts: [_encode(texts, path)[2]])
+
 
-    @F.arrow_udf("string")
-    def decode(lists: pa.Array) -> pa.Array:
-        lists = lists.fill_null([]) if lists.null_count else lists
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
+def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``df`` with the texts of its id lists in column ``into``."""
+
+    def work(lists: pa.Array) -> list[pa.Array]:
+        sizes = [0 if x is None else x for x in pc.list_value_length(lists).to_pylist()]
         flat = lists.flatten().to_numpy(zero_copy_only=False)
-        offsets = lists.offsets.to_numpy()
-        return pa.array(model(path).decode(flat, offsets - offsets[0]), pa.string())
+        return [pa.array(model(path).decode(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.string())]
 
-    return decode(ids)
+    return with_columns(df, ids, [T.StructField(into, T.StringType())], work)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """``df`` with the ids of its texts in column ``into``."""
-    return df.withColumn(into, encoded(F.col(text), path))
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of its ids in one pass over the rows."""
 
+    def work(texts: pa.Array) -> list[pa.Array]:
+        flat, offsets, lists = _encode(texts, path)
+        return [lists, pa.array(model(path).decode(flat, offsets), pa.string())]
 
-def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``df`` with the texts of its id lists in column ``into``."""
-    return df.withColumn(into, decoded(F.col(ids), path))
+    return with_columns(df, text, [T.StructField(ids, _IDS), T.StructField(into, T.StringType())], work)
