@@ -100,7 +100,7 @@ def comma_list(text: Column) -> Column:
 def coverage_score(text: Column) -> Column:
     """A number clamped to 0..1; 0.5 for what is no number."""
     number = text.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.5))
+    return F.when(number.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def overlap_prefix(text: Column, quote: Column) -> Column:
