@@ -9,9 +9,13 @@ sets that link differ in at most T shingles, T following from their sizes, so th
 groups at least 1 + s hold the same shingles in both.  A document is therefore filed under the content
 of each of its groups, for its own class of sizes and for the border to the next; the slack s makes it
 safe to leave empty groups out (documents with more than s empty groups file those too).  Buckets with
-the same members count once.  Large buckets are cut into blocks and every pair of blocks is a unit of
-its own; in a unit, pairs that are connected already are not looked at again and only a spanning forest
-of its links goes on, never all pairs.
+the same members count once.
+
+Trees over the points of each bucket's members give the pairs that the bound leaves, of which only a
+spanning forest goes on; the components of these forests are the clusters that links stay within.  A
+cluster's sets then meet once, in trees again, and are verified; pairs that are connected already are
+not looked at and again only a forest of links goes on, never all pairs.  Buckets and clusters of more
+than ``BLOCK`` members are cut into blocks, and every pair of blocks is a unit of its own.
 
 Equal sets are one class from the start, found by signatures and not by pairs.  Components are found by
 spreading smallest ids along links with pointer jumping; every round is a table in the shared folder.
@@ -34,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.llm.storage import written
+from kgloom.llm.storage import discard, written
 
 NO_ID = 2**63 - 1
 BLOCK = 512
 LEAF = 16
-AXES = 64
+AXES = (64, 1024)
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
@@ -180,24 +184,37 @@ class RTree:
         return found[np.minimum(self.points[found], point).sum(axis=1) >= self.join.need(self.sizes[found] + size)]
 
 
-def points_of(sets: list[np.ndarray]) -> np.ndarray:
-    """Counts per group of each set, over more axes where the sets are large."""
-    longest = max(map(len, sets))
-    axes = AXES
-    while axes < longest and axes < 1024:
-        axes *= 2
-    return np.array([np.bincount((s >> np.uint64(40)).astype(np.int64) % axes, minlength=axes) for s in sets], np.int32)
+def point_of(found: np.ndarray, join: Join) -> np.ndarray:
+    """Counts per group; the number of groups is a power of two that follows the class of sizes."""
+    ends = join.bounds()
+    wide = int(ends[np.searchsorted(ends, len(found))]) // 2
+    axes = 1 << int(np.clip(wide - 1, AXES[0] - 1, AXES[1] - 1)).bit_length()
+    return np.bincount((found >> np.uint64(40)).astype(np.int64) % axes, minlength=axes)
+
+
+def packed_point(found: np.ndarray, join: Join) -> bytes:
+    point = point_of(found, join)
+    return point.astype(np.uint8).tobytes() + b"1" if point.max(initial=0) < 256 else point.astype(np.uint32).tobytes() + b"4"
 
 
-def forest(sets: list[np.ndarray], second: np.ndarray | None, join: Join) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the sets; with ``second``, only links between sets where it is false and sets where it is true."""
-    if len(sets) < 2:
+def unpacked_points(packed: list[bytes]) -> np.ndarray:
+    """Points over the fewest groups of any of them; folding a point adds the counts of groups that fall together."""
+    points = [np.frombuffer(p[:-1], np.uint8 if p[-1:] == b"1" else np.uint32) for p in packed]
+    axes = min(map(len, points))
+    return np.array([p.reshape(-1, axes).sum(axis=0) for p in points], np.int32)
+
+
+def forest(points: np.ndarray, sets: list[np.ndarray] | None, second: np.ndarray | None, join: Join) -> list[tuple[int, int]]:
+    """Pairs that connect what is connected: by links between ``sets``, or, without sets, by what the bound leaves of the points.
+
+    With ``second``, only pairs of a member where it is false and one where it is true count.
+    """
+    if len(points) < 2:
         return []
-    sizes = np.array([len(s) for s in sets], np.int64)
-    points = points_of(sets)
-    root = np.arange(len(sets))
-    inner = np.arange(len(sets)) if second is None else np.flatnonzero(second)
-    asking = range(len(sets)) if second is None else np.flatnonzero(~second)
+    sizes = points.sum(axis=1, dtype=np.int64)
+    root = np.arange(len(points))
+    inner = np.arange(len(points)) if second is None else np.flatnonzero(second)
+    asking = range(len(points)) if second is None else np.flatnonzero(~second)
     if not len(inner):
         return []
     tree = RTree(points[inner], sizes[inner], join)
@@ -206,8 +223,8 @@ def forest(sets: list[np.ndarray], second: np.ndarray | None, join: Join) -> lis
         near = inner[tree.search(points[u], int(sizes[u]))]
         while len(near := near[root[near] != root[u]]):
             v = int(near[0])
-            both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-            if join.den * both >= join.num * (sizes[u] + sizes[v] - both):
+            both = None if sets is None else len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            if both is None or join.den * both >= join.num * (sizes[u] + sizes[v] - both):
                 links.append((int(u), v))
                 root[root == root[v]] = root[u]
             near = near[1:]
@@ -223,7 +240,7 @@ def _signed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.Record
             n.append(len(found))
             one.append(a)
             two.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["id", "n", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["id", "text_hash", "n", "s1", "s2"])
 
 
 def _filed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
@@ -243,34 +260,53 @@ def _filed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordB
 
 def _sets(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t, join.words).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "grams"])
+        sets = [shingles(t, join.words) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed_point(s, join) for s in sets], pa.binary())], ["id", "grams", "point"])
+
 
+def _candidates_of(rows: list[tuple], crossed: bool, join: Join) -> list[tuple[int, int]]:
+    ids, second, packed = zip(*rows)
+    found = forest(unpacked_points(list(packed)), None, np.array(second) if crossed else None, join)
+    return [(ids[u], ids[v]) for u, v in found if ids[u] != ids[v]]
 
-def _unit_links(units: list[tuple[bytes, bool]], crossed: bool, join: Join) -> list[tuple[int, int, int, int]]:
-    distinct = dict(sorted({g: s for g, s in units}.items()))
+
+def _links_of(rows: list[tuple], crossed: bool, join: Join) -> list[tuple[int, int, int, int]]:
+    distinct = dict(sorted({g: s for _, s, g in rows}.items()))
     sets = [np.frombuffer(g, np.uint64) for g in distinct]
-    second = np.array(list(distinct.values())) if crossed else None
+    points = unpacked_points([packed_point(s, join) for s in sets])
     signs = [signature(s) for s in sets]
-    return [(*signs[u], *signs[v]) for u, v in forest(sets, second, join)]
+    return [(*signs[u], *signs[v]) for u, v in forest(points, sets, np.array(list(distinct.values())) if crossed else None, join)]
+
 
+def _by_unit(batches: Iterator[pa.RecordBatch], work, names: list[str], join: Join) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each unit; the rows of a unit follow each other."""
+    unit, rows = None, []
+
+    def made(out):
+        return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)] if out else []
 
-def _linked(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
-    """Links of each unit; the rows of a unit follow each other."""
-    unit, rows, names = None, [], ["a1", "a2", "b1", "b2"]
     for batch in batches:
         out = []
-        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "grams")]
-        for key, i, j, block, grams in zip(*cols):
+        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "block", "data")]
+        for key, i, j, owner, block, data in zip(*cols):
             if (key, i, j) != unit:
                 if unit is not None:
-                    out += _unit_links(rows, unit[1] != unit[2], join)
+                    out += work(rows, unit[1] != unit[2], join)
                 unit, rows = (key, i, j), []
-            rows.append((grams, block == j))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
-    if unit is not None and (out := _unit_links(rows, unit[1] != unit[2], join)):
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
+            rows.append((owner, block == j, data))
+        yield from made(out)
+    if unit is not None:
+        yield from made(work(rows, unit[1] != unit[2], join))
+
+
+def units(members: DataFrame, data: DataFrame, column: str) -> DataFrame:
+    """Members (``key, id, m``) of buckets dealt to units with their data; a bucket of ``m`` has ceil(m / BLOCK) blocks."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = members.select("key", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    joined = rows.join(data.select(F.col("id").alias("_id"), F.col(column).alias("data")).hint("shuffle_merge"), F.col("id") == F.col("_id"))
+    return joined.select("key", "i", "j", "id", "block", "data").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,30 +331,32 @@ def links_of(docs: DataFrame, join: Join) -> DataFrame:
     """Spanning links between different sets, as signatures ``a1, a2, b1, b2``; ``docs`` has ``id`` and ``text``."""
     rows = docs.mapInArrow(lambda it: _filed(it, join), "key long, id long")
     same = W.partitionBy("key")
-    ids = F.xxhash64("id")
     rows = rows.select("key", "id", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi"), F.count("*").over(same).alias("m"), F.expr("bit_xor(xxhash64(id)) OVER (PARTITION BY key)").alias("x"))
     shared = written(rows.where("lo <> hi"), "jaccard-buckets")
     chosen = written(shared.where("id = lo").groupBy("x", "m", "lo", "hi").agg(F.min("key").alias("key")).select(F.col("key").alias("_key")), "jaccard-chosen")
-    members = shared.join(chosen.hint("shuffle_merge"), F.col("key") == F.col("_key"), "left_semi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = members.select("key", "id", blocks.alias("blocks"), F.pmod(ids, blocks).cast("int").alias("block"))
-    members = written(members, "jaccard-members")
+    members = written(shared.join(chosen.hint("shuffle_merge"), F.col("key") == F.col("_key"), "left_semi").select("key", "id", "m"), "jaccard-members")
+    discard(shared, chosen)
     wanted = members.select(F.col("id").alias("_id")).distinct()
-    grams = docs.join(wanted.hint("shuffle_merge"), F.col("id") == F.col("_id"), "left_semi").mapInArrow(lambda it: _sets(it, join), "id long, grams binary")
-    grams = written(grams, "jaccard-sets").withColumnRenamed("id", "_id")
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    units = units.join(grams.hint("shuffle_merge"), F.col("id") == F.col("_id")).select("key", "i", "j", "block", "grams")
-    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return units.mapInArrow(lambda it: _linked(it, join), "a1 long, a2 long, b1 long, b2 long").distinct()
+    data = docs.join(wanted.hint("shuffle_merge"), F.col("id") == F.col("_id"), "left_semi").mapInArrow(lambda it: _sets(it, join), "id long, grams binary, point binary")
+    data = written(data, "jaccard-sets")
+    pairs = written(units(members, data, "point").mapInArrow(lambda it: _by_unit(it, _candidates_of, ["a", "b"], join), "a long, b long").distinct(), "jaccard-pairs")
+    discard(members)
+    clusters = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("key"))
+    sizes = written(clusters.groupBy("key").agg(F.count("*").alias("m")).select(F.col("key").alias("_key"), "m"), "jaccard-sizes")
+    members = clusters.join(sizes.hint("shuffle_merge"), F.col("key") == F.col("_key")).select("key", "id", "m")
+    links = units(members, data, "grams").mapInArrow(lambda it: _by_unit(it, _links_of, ["a1", "a2", "b1", "b2"], join), "a1 long, a2 long, b1 long, b2 long")
+    links = written(links.distinct(), "jaccard-links")
+    discard(data, pairs, sizes)
+    return links
 
 
 def similar_groups(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` of every row; a class has equal sets, a component is connected by links."""
+    """``doc_id, text_hash, n_shingles, class_id, component_id`` of every row; a class has equal sets, a component is connected by links."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
-    signed = written(rows.mapInArrow(lambda it: _signed(it, join), "id long, n long, s1 long, s2 long"), "jaccard-signed")
+    hashed = rows.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = written(hashed.mapInArrow(lambda it: _signed(it, join), "id long, text_hash long, n long, s1 long, s2 long"), "jaccard-signed")
     classes = written(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("class_id")), "jaccard-classes")
-    links = written(links_of(rows, join), "jaccard-links")
+    links = links_of(rows, join)
     side = lambda s: classes.select(F.col("s1").alias(f"_{s}1"), F.col("s2").alias(f"_{s}2"), F.col("class_id").alias(s)).hint("shuffle_merge")
     named = links.join(side("a"), (F.col("a1") == F.col("_a1")) & (F.col("a2") == F.col("_a2"))).select("a", "b1", "b2")
     named = written(named, "jaccard-half").join(side("b"), (F.col("b1") == F.col("_b1")) & (F.col("b2") == F.col("_b2"))).select("a", "b")
@@ -327,4 +365,21 @@ def similar_groups(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id",
     merged = written(merged.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "class_id", F.coalesce("component", "class_id").alias("component_id")), "jaccard-merged")
     out = signed.join(merged.hint("shuffle_merge"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") > 0), "left")
     shown = lambda c: F.when(c != NO_ID, c)
-    return out.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("class_id", "id")).alias("class_id"), shown(F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select(shown(F.col("id")).alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), shown(F.coalesce("class_id", "id")).alias("class_id"), shown(F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the row with the component's id.
+
+    Of rows that share that id the one with the smallest text hash stays.  Rows without doc_id go where their
+    component has an id, and stay, one per text, where it has none.
+    """
+    found = similar_groups(docs, join, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = W.partitionBy("_k", F.when(F.col("doc_id").isNull(), F.col("text_hash"))).orderBy("text_hash")
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias("_k")
+    kept = found.select("doc_id", "component_id", "text_hash", key("doc_id")).withColumn("_at", F.row_number().over(own)).where("_at = 1")
+    kept = written(kept.select("_k", F.col("text_hash").alias("_h")).distinct(), "jaccard-kept")
+    rows = docs.select(key(doc_id), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.struct(*docs.columns).alias("_row"))
+    rows = rows.join(kept.hint("shuffle_merge"), ["_k", "_h"], "left_semi")
+    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy("_k", "_h").orderBy("_k", "_h"))).where("_at = 1")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ gets a fresh temporary folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,4 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more, and let Spark free the shuffle files of finished stages."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
