@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 MAX_TOXIC, MAX_ORDINARY, TRAIN_WINDOWS = 1500, 3000, 64
 WINDOW, LEVEL = 48, 5
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
-GRAM, MIN_SHARE, MIN_RATIO = 5, 0.02, 40.0
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
+#: Bytes of a gram and how many times more of the toxic documents must have it; short grams must be all but absent elsewhere.
+GRAMS = ((5, 40.0), (7, 8.0))
+MIN_SHARE, MIN_SURPRISE = 0.02, 9.0
 THRESHOLD = 0.7
 
 _BREAKS = re.compile(rb"[\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -82,29 +84,42 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
     return [top[0], gain.mean(), top[1], top[2], np.maximum(gain - 3, 0).mean(), float(np.log1p(len(parts)))]
 
 
-def _grams(data: bytes) -> np.ndarray:
+def _grams(data: bytes, size: int) -> np.ndarray:
     b = np.frombuffer(data, np.uint8).astype(np.int64)
-    n = len(b) - GRAM + 1
-    return np.zeros(0, np.int64) if n <= 0 else sum(b[i : i + n] << (8 * i) for i in range(GRAM))
+    n = len(b) - size + 1
+    return np.zeros(0, np.int64) if n <= 0 else sum(b[i : i + n] << (8 * i) for i in range(size))
 
 
-def _telling(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Byte grams of many toxic documents that are rare in ordinary ones."""
-    count = lambda docs: np.unique(np.concatenate([np.unique(_grams(d)) for d in docs]), return_counts=True)
+def _telling(toxic: list[bytes], ordinary: list[bytes], size: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Byte grams that far more toxic documents have than ordinary ones let expect, and how many toxic ones have each."""
+    count = lambda docs: np.unique(np.concatenate([np.unique(_grams(d, size)) for d in docs]), return_counts=True)
     grams, seen = count(toxic)
     others, there = count(ordinary)
     at = np.minimum(np.searchsorted(others, grams), len(others) - 1)
-    rare = np.where(others[at] == grams, there[at], 0)
-    ratio = (seen / len(toxic)) / ((rare + 0.5) / len(ordinary))
-    return grams[(seen >= max(3, MIN_SHARE * len(toxic))) & (ratio > MIN_RATIO)]
+    rare = np.where(others[at] == grams, there[at], 0) if len(others) else np.zeros(len(grams))
+    expected = (rare + 0.5) / len(ordinary) * len(toxic)
+    kept = (seen >= max(3, MIN_SHARE * len(toxic))) & (seen > ratio * expected) & (seen - expected > MIN_SURPRISE * np.sqrt(expected))
+    return grams[kept], seen[kept]
 
 
-def _stretches(data: bytes, telling: np.ndarray) -> bytes:
-    hit = np.zeros(len(data), bool)
-    starts = np.flatnonzero(np.isin(_grams(data), telling))
-    for i in range(GRAM):
-        hit[starts + i] = True
-    return np.frombuffer(data, np.uint8)[hit].tobytes()
+def _stretches(data: bytes, telling: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[bytes, int]:
+    """The bytes under telling grams, and how many documents have the commonest of them."""
+    hit, most = np.zeros(len(data), bool), 0
+    for size, grams, seen in telling:
+        own = _grams(data, size)
+        starts = np.flatnonzero(np.isin(own, grams))
+        for i in range(size):
+            hit[starts + i] = True
+        if len(starts):
+            most = max(most, int(seen[np.isin(grams, own)].max()))
+    return np.frombuffer(data, np.uint8)[hit].tobytes(), most
+
+
+def _balanced(docs: list[bytes], telling: list[tuple[int, np.ndarray, np.ndarray]], total: int = 2000) -> list[bytes]:
+    """The telling stretches of each document, repeated the more often the rarer its commonest telling gram is, so that no language crowds out the others."""
+    told = [x for x in (_stretches(d, telling) for d in docs) if len(x[0]) >= 8]
+    scale = total / sum(1 / most for _, most in told) if told else 0
+    return [s for s, most in told for _ in range(max(1, round(scale / most)))]
 
 
 def _content(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -119,13 +134,12 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     bad, good = [b"".join(x) for x in toxic if x], [b"".join(x) for x in ordinary if x]
     if not bad or not good:
         return None
-    telling = _telling(bad, good)
-    told = [s for s in (_stretches(d, telling) for d in bad) if len(s) >= 8]
+    told = _balanced(bad, [(size, *_telling(bad, good, size, ratio)) for size, ratio in GRAMS])
     if not told:
         return None
     step = max(1, sum(map(len, ordinary)) // 20_000)
     plain = [w for doc in ordinary for w in doc][::step]
-    return _content(plain, ORDINARY_BYTES, 32, 8), _content(told * max(1, 2000 // len(told)), TOXIC_BYTES, 24, 6)
+    return _content(plain, ORDINARY_BYTES, 32, 8), _content(told, TOXIC_BYTES, 24, 6)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[float, ...]:
@@ -164,7 +178,7 @@ def _sampled(text: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train on the labelled documents for whose label rows ``learn`` holds.
 
-    Half of the sampled documents (by hash) trains the dictionaries, the other half the curve.
+    Two thirds of the sampled documents (by hash) train the dictionaries, the others the curve.
     """
     known = labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"), F.xxhash64(F.col(doc_id)).alias("_order"))
     part = lambda value, most: known.where(F.col("_label") == value).orderBy("_order", "_id").limit(most)
@@ -172,17 +186,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     got = sorted((r["_order"], r["_label"], r["_w"]) for r in rows.select("_order", "_label", _sampled(F.col("_text")).alias("_w")).collect())
     share = sum(label for _, label, _ in got) / len(got) if got else 0.0
-    pick = lambda value: [[bytes(w) for w in ws] for order, label, ws in got if label == value and order % 2 == 0]
+    pick = lambda value: [[bytes(w) for w in ws] for order, label, ws in got if label == value and order % 3]
     made = train_dictionaries(pick(1), pick(0))
     if made is None:
         return Model(b"", b"", (), share)
-    ordinary, toxic = made
-    held = rows.where(F.expr("_order % 2 <> 0")).select("_order", "_label", _features_of(F.col("_text"), ordinary, toxic).alias("_f")).collect()
+    held = rows.where(F.pmod("_order", F.lit(3)) == 0).select("_order", "_label", _features_of(F.col("_text"), *made).alias("_f")).collect()
     held.sort(key=lambda r: (r["_order"], r["_label"], r["_f"]))
     y = np.array([r["_label"] for r in held], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(b"", b"", (), share)
-    return Model(ordinary, toxic, fit_logistic(np.array([r["_f"] for r in held]), y), share)
+    return Model(*made, fit_logistic(np.array([r["_f"] for r in held]), y), share)
 
 
 def score(text: Column, model: Model) -> Column:
