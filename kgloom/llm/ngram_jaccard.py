@@ -264,10 +264,28 @@ def _sets(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed_point(s, join) for s in sets], pa.binary())], ["id", "grams", "point"])
 
 
+def stars(pairs: list[tuple[int, int]], names: list) -> list[tuple]:
+    """The pairs' components as pairs of a member's name and the smallest; other units that connect the same members give the same pairs."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in pairs:
+        a, b = top(u), top(v)
+        if a != b:
+            low, high = (a, b) if names[a] <= names[b] else (b, a)
+            root[high] = low
+    return [(names[x], names[top(x)]) for x in list(root) if names[x] != names[top(x)]]
+
+
 def _candidates_of(rows: list[tuple], crossed: bool, join: Join) -> list[tuple[int, int]]:
     ids, second, packed = zip(*rows)
     found = forest(unpacked_points(list(packed)), None, np.array(second) if crossed else None, join)
-    return [(ids[u], ids[v]) for u, v in found if ids[u] != ids[v]]
+    return stars(found, ids)
 
 
 def _links_of(rows: list[tuple], crossed: bool, join: Join) -> list[tuple[int, int, int, int]]:
@@ -275,7 +293,8 @@ def _links_of(rows: list[tuple], crossed: bool, join: Join) -> list[tuple[int, i
     sets = [np.frombuffer(g, np.uint64) for g in distinct]
     points = unpacked_points([packed_point(s, join) for s in sets])
     signs = [signature(s) for s in sets]
-    return [(*signs[u], *signs[v]) for u, v in forest(points, sets, np.array(list(distinct.values())) if crossed else None, join)]
+    found = forest(points, sets, np.array(list(distinct.values())) if crossed else None, join)
+    return [(*a, *b) for a, b in stars(found, signs)]
 
 
 def _by_unit(batches: Iterator[pa.RecordBatch], work, names: list[str], join: Join) -> Iterator[pa.RecordBatch]:
