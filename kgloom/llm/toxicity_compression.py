@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 MAX_TOXIC, MAX_ORDINARY, TRAIN_WINDOWS = 1500, 3000, 64
 WINDOW, LEVEL = 48, 5
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
-#: Bytes of a gram and how many times more of the toxic documents must have it; short grams must be all but absent elsewhere.
-GRAMS = ((5, 40.0), (7, 8.0))
+ORDINARY_BYTES = 8192
+#: Sizes of the toxic dictionary; of all sizes and ways the one with the least loss on held-back samples stays.
+TOXIC_BYTES = (1024, 2048, 3072)
+#: Ways to pick telling grams: bytes of a gram, and how many times more of the toxic documents must have it.
+GRAMS = (((5, 40.0),), ((5, 40.0), (7, 8.0)))
 MIN_SHARE, MIN_SURPRISE = 0.02, 9.0
 THRESHOLD = 0.7
 
@@ -130,16 +132,18 @@ def _content(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes] | None:
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
+    """Pairs of ordinary and toxic content, one for each way and size; none if a side has nothing to tell."""
     bad, good = [b"".join(x) for x in toxic if x], [b"".join(x) for x in ordinary if x]
     if not bad or not good:
-        return None
-    told = _balanced(bad, [(size, *_telling(bad, good, size, ratio)) for size, ratio in GRAMS])
-    if not told:
-        return None
+        return []
     step = max(1, sum(map(len, ordinary)) // 20_000)
-    plain = [w for doc in ordinary for w in doc][::step]
-    return _content(plain, ORDINARY_BYTES, 32, 8), _content(told, TOXIC_BYTES, 24, 6)
+    plain = _content([w for doc in ordinary for w in doc][::step], ORDINARY_BYTES, 32, 8)
+    made, known = [], {size: _telling(bad, good, *size) for size in sorted({g for way in GRAMS for g in way})}
+    for way in GRAMS:
+        told = _balanced(bad, [(g[0], *known[g]) for g in way])
+        made += [(plain, _content(told, size, 24, 6)) for size in TOXIC_BYTES if told]
+    return made
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[float, ...]:
@@ -155,6 +159,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[fl
     return (float(w[0] - slope @ mean), *map(float, slope))
 
 
+def loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss of a curve fitted on the same rows."""
+    first, *slopes = fit_logistic(x, y)
+    p = 1 / (1 + np.exp(-np.clip(x @ np.array(slopes) + first, -30, 30)))
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+
 def _features_of(text: Column, ordinary: bytes, toxic: bytes) -> Column:
     @F.arrow_udf("array<double>")
     def measure(texts: pa.Array) -> pa.Array:
@@ -187,9 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     got = sorted((r["_order"], r["_label"], r["_w"]) for r in rows.select("_order", "_label", _sampled(F.col("_text")).alias("_w")).collect())
     share = sum(label for _, label, _ in got) / len(got) if got else 0.0
     pick = lambda value: [[bytes(w) for w in ws] for order, label, ws in got if label == value and order % 3]
-    made = train_dictionaries(pick(1), pick(0))
-    if made is None:
+    back = [(b" ".join(map(bytes, ws)).decode("utf-8", "replace"), float(label)) for order, label, ws in got if order % 3 == 0]
+    y = np.array([label for _, label in back])
+    ways = train_dictionaries(pick(1), pick(0))
+    if not ways or not len(y) or y.min() == y.max():
         return Model(b"", b"", (), share)
+    made = min(ways, key=lambda m: loss(np.array([features(t, *m) for t, _ in back]), y))
     held = rows.where(F.pmod("_order", F.lit(3)) == 0).select("_order", "_label", _features_of(F.col("_text"), *made).alias("_f")).collect()
     held.sort(key=lambda r: (r["_order"], r["_label"], r["_f"]))
     y = np.array([r["_label"] for r in held], np.float64)
