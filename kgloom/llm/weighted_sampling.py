@@ -55,7 +55,7 @@ def fingerprints(bodies: DataFrame, keys: list[str], body: str) -> DataFrame:
     words = words.select(*keys, F.xxhash64("_term").alias("_hash"), F.ln(F.nullif(F.char_length("_term"), F.lit(0)).cast("double")).alias("_weight"))
     least = [F.min(sample_value(F.col("_hash"), F.col("_weight"), i)).alias(f"_s{i}") for i in range(SAMPLES)]
     parts = [F.lpad(F.lower(F.hex(F.xxhash64(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)))), DIGITS, "0") for i in range(SAMPLES)]
-    return words.groupBy(*keys).agg(*least).select(*keys, F.concat(*parts).alias("fingerprint"))
+    return words.groupBy(*keys).agg(*least).select(*keys, F.when(F.col("_s0").isNotNull(), F.concat(*parts)).alias("fingerprint"))
 
 
 def likeness(one: Column, two: Column) -> Column:
