@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from kgloom.plans.queries import ORACLES, QUERIES
+from kgloom.plans.more_queries import ORACLES, QUERIES
 
 
 def shown(v):
