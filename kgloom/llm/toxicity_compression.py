@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary windows, one on the stretches that tell toxic
-documents from ordinary ones.  The toxic compressor's dictionary is the trained toxic content in front
-of the shared ordinary content, so a window that owes nothing to toxic text has the same length under
-both and the difference of the two lengths is what the toxic dictionary adds.  A document's whole text
-is scored window by window; a logistic curve, fitted on labelled documents that the dictionaries have
-not seen, turns the largest and the mean differences into a probability.
+zstandard dictionaries are trained, one on ordinary windows, others on the stretches that tell toxic
+documents from ordinary ones (short byte grams that ordinary text all but lacks, or also longer ones
+that it has more rarely).  A toxic compressor's dictionary is the trained toxic content in front of the
+shared ordinary content, so a window that owes nothing to toxic text has the same length under both and
+the difference of the two lengths is what the toxic dictionary adds.  A document's whole text is scored
+window by window; a logistic curve, fitted on labelled documents that the dictionaries have not seen,
+turns the largest and the mean differences into a probability.
 
 Training reads at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents (smallest hashes of their
 ids) and ``TRAIN_WINDOWS`` windows of each, evenly spaced; that bound is the only one.  Scoring has none.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 MAX_TOXIC, MAX_ORDINARY, TRAIN_WINDOWS = 1500, 3000, 64
 WINDOW, LEVEL = 48, 5
 ORDINARY_BYTES = 8192
-#: Sizes of the toxic dictionary; of all sizes and ways the one with the least loss on held-back samples stays.
+#: Sizes of a toxic dictionary; for each way the size with the least loss on held-back samples stays.
 TOXIC_BYTES = (1024, 2048, 3072)
 #: Ways to pick telling grams: bytes of a gram, and how many times more of the toxic documents must have it.
 GRAMS = (((5, 40.0),), ((5, 40.0), (7, 8.0)))
@@ -60,30 +61,32 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
     weights: tuple[float, ...] = ()
     base: float = 0.0
 
 
-@lru_cache(maxsize=4)
-def _compressors(ordinary: bytes, toxic: bytes):
-    made = []
-    for content in (ordinary, toxic + ordinary):
-        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-    return made
+@lru_cache(maxsize=8)
+def _compressor(content: bytes):
+    words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
-def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
-    """The three largest gains of a window under the toxic dictionary, the mean gain, the mean above noise, and the log of the number of windows."""
-    plain, other = _compressors(ordinary, toxic)
+def features(text: str | None, ordinary: bytes, toxic: tuple[bytes, ...]) -> list[float]:
+    """The log of the number of windows, and for each toxic dictionary the three largest gains of a window, the mean gain, and the mean above noise."""
     parts = windows(text)
     if not parts:
-        return [0.0] * 6
-    gain = np.array([len(plain(w)) - len(other(w)) for w in parts], np.float64)
-    top = np.r_[np.sort(gain)[::-1][:3], 0.0, 0.0]
-    return [top[0], gain.mean(), top[1], top[2], np.maximum(gain - 3, 0).mean(), float(np.log1p(len(parts)))]
+        return [0.0] * (1 + 5 * len(toxic))
+    plain = _compressor(ordinary)
+    base = np.array([len(plain(w)) for w in parts], np.float64)
+    out = [float(np.log1p(len(parts)))]
+    for content in toxic:
+        other = _compressor(content + ordinary)
+        gain = base - np.array([len(other(w)) for w in parts])
+        top = np.r_[np.sort(gain)[::-1][:3], 0.0, 0.0]
+        out += [float(x) for x in (*top[:3], gain.mean(), np.maximum(gain - 3, 0).mean())]
+    return out
 
 
 def _grams(data: bytes, size: int) -> np.ndarray:
@@ -132,18 +135,19 @@ def _content(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
-    """Pairs of ordinary and toxic content, one for each way and size; none if a side has nothing to tell."""
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, list[list[bytes]]]:
+    """Ordinary content, and for each way toxic contents of all sizes; no ways if a side has nothing to tell."""
     bad, good = [b"".join(x) for x in toxic if x], [b"".join(x) for x in ordinary if x]
     if not bad or not good:
-        return []
+        return b"", []
     step = max(1, sum(map(len, ordinary)) // 20_000)
     plain = _content([w for doc in ordinary for w in doc][::step], ORDINARY_BYTES, 32, 8)
-    made, known = [], {size: _telling(bad, good, *size) for size in sorted({g for way in GRAMS for g in way})}
+    ways, known = [], {size: _telling(bad, good, *size) for size in sorted({g for way in GRAMS for g in way})}
     for way in GRAMS:
         told = _balanced(bad, [(g[0], *known[g]) for g in way])
-        made += [(plain, _content(told, size, 24, 6)) for size in TOXIC_BYTES if told]
-    return made
+        if told:
+            ways.append([_content(told, size, 24, 6) for size in TOXIC_BYTES])
+    return plain, ways
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[float, ...]:
@@ -166,7 +170,7 @@ def loss(x: np.ndarray, y: np.ndarray) -> float:
     return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
-def _features_of(text: Column, ordinary: bytes, toxic: bytes) -> Column:
+def _features_of(text: Column, ordinary: bytes, toxic: tuple[bytes, ...]) -> Column:
     @F.arrow_udf("array<double>")
     def measure(texts: pa.Array) -> pa.Array:
         return pa.array([features(t, ordinary, toxic) for t in texts.to_pylist()], pa.list_(pa.float64()))
@@ -200,16 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     pick = lambda value: [[bytes(w) for w in ws] for order, label, ws in got if label == value and order % 3]
     back = [(b" ".join(map(bytes, ws)).decode("utf-8", "replace"), float(label)) for order, label, ws in got if order % 3 == 0]
     y = np.array([label for _, label in back])
-    ways = train_dictionaries(pick(1), pick(0))
+    ordinary, ways = train_dictionaries(pick(1), pick(0))
     if not ways or not len(y) or y.min() == y.max():
-        return Model(b"", b"", (), share)
-    made = min(ways, key=lambda m: loss(np.array([features(t, *m) for t, _ in back]), y))
-    held = rows.where(F.pmod("_order", F.lit(3)) == 0).select("_order", "_label", _features_of(F.col("_text"), *made).alias("_f")).collect()
+        return Model(b"", (), (), share)
+    toxic = tuple(min(sizes, key=lambda t: loss(np.array([features(x, ordinary, (t,)) for x, _ in back]), y)) for sizes in ways)
+    held = rows.where(F.pmod("_order", F.lit(3)) == 0).select("_order", "_label", _features_of(F.col("_text"), ordinary, toxic).alias("_f")).collect()
     held.sort(key=lambda r: (r["_order"], r["_label"], r["_f"]))
     y = np.array([r["_label"] for r in held], np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(b"", b"", (), share)
-    return Model(*made, fit_logistic(np.array([r["_f"] for r in held]), y), share)
+    return Model(ordinary, toxic, fit_logistic(np.array([r["_f"] for r in held]), y), share)
 
 
 def score(text: Column, model: Model) -> Column:
