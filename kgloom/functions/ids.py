@@ -14,11 +14,10 @@ def _escaped(value: Column) -> Column:
     text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for raw, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(raw), F.lit(short))
-    rest = [chr(c) for c in [*range(0x20), 0x7F] if chr(c) not in "\n\r\t\b\f" and c != 0x7F]
-    control = F.regexp_like(value, F.lit("[\\x00-\\x07\\x0B\\x0E-\\x1F]"))
     slow = text
-    for c in rest:
-        slow = F.replace(slow, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    for c in (x for x in range(0x20) if x not in (8, 9, 10, 12, 13)):
+        slow = F.replace(slow, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    control = F.regexp_like(value, F.lit("[\\x00-\\x07\\x0B\\x0E-\\x1F]"))
     return F.when(control, slow).otherwise(text)
 
 

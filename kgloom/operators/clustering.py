@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +99,18 @@ def close_pairs(vectors: DataFrame, least: float, key: str = "id") -> DataFrame:
     return left.join(right, F.col("i") <= F.col("j")).mapInPandas(run, "a string, b string, score double")
 
 
+def likely_pairs(vectors: DataFrame, least: float, key: str = "id", tables: int = 8, width: float = 1.0, seed: int = 7) -> DataFrame:
+    """Most of the pairs of ``close_pairs``, without meeting all: random projections hash unit vectors, only vectors that share a bucket are compared.
+
+    More ``tables`` find more, a smaller ``width`` compares fewer; every pair that is given is exact.
+    """
+    unit = vectors.select(F.col(key).cast("string").alias("id"), array_to_vector(V.normalised(F.col("embedding"))).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=width, seed=seed).fit(unit)
+    far = (2 * (1 - least)) ** 0.5
+    pairs = model.approxSimilarityJoin(unit, unit, far, "d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
+    return pairs.where("a < b")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of nodes with links ``a, b``; labels spread and jump until none changes."""
     both = _checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -211,10 +226,6 @@ def members(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
 
-def hashed_embedder(size: int = 64, n: int = 3) -> "Embedder":
-    return Embedder(size, n)
-
-
 class Embedder:
     """Deterministic offline embeddings: signed hashed character n-grams, as a column expression factory."""
 
@@ -226,8 +237,6 @@ class Embedder:
 
         @F.pandas_udf("array<double>")
         def embed(texts: pd.Series) -> pd.Series:
-            import zlib
-
             def one(t: str | None) -> list[float]:
                 v = np.zeros(size)
                 data = f" {t or ''} ".lower().encode()

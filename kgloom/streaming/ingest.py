@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,6 @@ def window_counts(stream: DataFrame, time: str, key: str, size: str, slide: str
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream into a fresh graph; how many edges of each type it ends with."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-stream-")
-    import uuid
-
     base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

@@ -64,6 +64,15 @@ def test_average_linkage_stays_in_components(spark):
     assert clustering.Density(0.2, drop_noise=True).fit(df).count() <= 42
 
 
+def test_likely_pairs_are_most_close_pairs(spark):
+    rng = np.random.default_rng(9)
+    points = np.repeat(rng.normal(size=(40, 32)), 3, axis=0) + rng.normal(scale=0.12, size=(120, 32))
+    df = spark.createDataFrame([(f"{i:03d}", p.tolist()) for i, p in enumerate(points)], "id string, embedding array<double>")
+    exact = {(r["a"], r["b"]) for r in clustering.close_pairs(df, 0.9).collect()}
+    likely = {(r["a"], r["b"]) for r in clustering.likely_pairs(df, 0.9).collect()}
+    assert likely <= exact and len(likely) >= 0.9 * len(exact) > 0
+
+
 def test_connected(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
