@@ -32,8 +32,10 @@ SMOOTHING = 0.05
 UNKNOWN = 1e-7
 #: A text counts as this many words' evidence at most, so that long texts do not all score 1.
 EVIDENCE_WORDS = 20
-CHUNK_CHARS = 4_000_000
-MEMO_WORDS = 200_000
+#: Characters and new words scored together, and words that a worker remembers; all bound memory only.
+CHUNK_CHARS = 1_000_000
+CHUNK_WORDS = 20_000
+MEMO_WORDS = 100_000
 TYPE = "struct<lang:string,score:double>"
 
 _RUNS = re.compile(r"[^\W\d_]+").findall
@@ -179,8 +181,8 @@ class Scorer:
         parts = [w[i : i + MAX_LETTERS] for w in new for i in range(0, len(w), MAX_LETTERS)]
         owner = np.repeat(np.arange(len(new)), [-(-len(w) // MAX_LETTERS) for w in new])
         added = np.zeros((len(new), len(self.languages)))
-        for a in range(0, len(parts), 100_000):
-            np.add.at(added, owner[a : a + 100_000], self.pieces.forward(parts[a : a + 100_000], self.chance))
+        for a in range(0, len(parts), CHUNK_WORDS):
+            np.add.at(added, owner[a : a + CHUNK_WORDS], self.pieces.forward(parts[a : a + CHUNK_WORDS], self.chance))
         self.index.update((w, len(self.logs) + i) for i, w in enumerate(new))
         self.logs = np.r_[self.logs, added]
 

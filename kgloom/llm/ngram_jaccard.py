@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgloom.llm.arrow_batches import slices
 from kgloom.llm.storage import discard, written
 
 NO_ID = 2**63 - 1
@@ -231,8 +232,13 @@ def forest(points: np.ndarray, sets: list[np.ndarray] | None, second: np.ndarray
     return links
 
 
-def _signed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        yield from slices(batch, "text")
+
+
+def _signed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         n, one, two = [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text, join.words)
@@ -245,7 +251,7 @@ def _signed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.Record
 
 def _filed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()  # a set that a partition holds often is filed once
-    for batch in batches:
+    for batch in _parts(batches):
         keys, owners = [], []
         for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = shingles(text, join.words)
@@ -259,7 +265,7 @@ def _filed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordB
 
 
 def _sets(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         sets = [shingles(t, join.words) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed_point(s, join) for s in sets], pa.binary())], ["id", "grams", "point"])
 
