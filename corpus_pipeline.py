@@ -16,10 +16,9 @@ NEAR = ngram_jaccard.Join(words=5, num=80, den=100)
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     languages, chance = language_unigrams.fit(docs, PIECES)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("body"))
-    found = language_unigrams.identify(rows, PIECES, languages, chance, text="body")
-    kept = found.where((F.col("language.lang") != language_unigrams.UND) & (F.col("language.score") >= MIN_LANGUAGE))
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    found = language_unigrams.identify(docs, PIECES, languages, chance, into="__language")
+    kept = found.where((F.col("__language.lang") != language_unigrams.UND) & (F.col("__language.score") >= MIN_LANGUAGE))
+    return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
