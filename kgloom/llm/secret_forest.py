@@ -1,8 +1,9 @@
 """Secret scans: candidates by regex, false positives removed by a random forest.
 
-Candidates are long runs of token characters with a digit.  Features are the candidate's length, its
-transitions between character classes, how much of it dictionary fragments cover, words of the path, and
-words and signs next to it.  The forest is trained on labelled findings, which are made by rules from
+Candidates are long runs of token characters with a digit or with letters of both cases, keys with known
+prefixes, and, of any length and signs, values after secret words with = or : and passwords in URLs.
+Features are the candidate's length, its transitions between character classes, how much of it dictionary
+fragments cover, words of the path, and words and signs next to it.  The forest is trained on labelled findings, which are made by rules from
 ``FINDINGS`` seeds in Spark itself, and is then written out as one SQL expression, so that scanning and
 redacting are plain column expressions over whole texts.
 
@@ -21,8 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Runs of at least 16 token characters, a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 NEAR = 48
 FINDINGS, TREES, DEPTH, SEED = 4000, 15, 6, 11
 #: Share of trees from which a candidate is a secret; under one half, as a missed secret costs more than a masked token.
@@ -34,6 +33,22 @@ DICTIONARY = "the and ing tion ment ness able less ful over under inter pre pro
 SECRET_WORDS = "pass|pwd|secret|token|api|key|auth|credential|bearer|private|access|signature"
 PLAIN_WORDS = "commit|sha|md5|checksum|hash|digest|uuid|guid|version|revision|build|isbn|serial|order|invoice|see|ref|page|figure|http|www|id "
 PATH_WORDS = "test|example|sample|mock|fixture|demo|doc|spec"
+#: Values of these are passwords whatever they look like.
+PASS_WORDS = "pass|pwd|secret|credential"
+
+#: Keys whose first characters tell what they are.
+KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|(?:gh[pousr]_|github_pat_|sk[-_]|AIza)[A-Za-z0-9_-]{16,}|xox[a-z]-[A-Za-z0-9-]{8,}|eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){1,2}"
+#: Runs of at least 16 token characters with a digit, or with a lower-case letter and a capital behind the first sign.
+RUN = r"(?:(?=[A-Za-z+/_-]*[0-9])|(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-][a-z0-9+/_-]*[A-Z]))[A-Za-z0-9+/_-]{16,}={0,2}"
+_SAYS = rf"(?<=(?i:{SECRET_WORDS})[A-Za-z0-9_-]{{0,40}}\\?[\"']?[ \t]{{0,40}}[:=]{{1,2}}>?[ \t]{{0,40}}"
+#: Neither the scheme of an authorization nor a URL is a value; what follows or is in them is.
+_VALUE = r"(?!(?i:bearer|basic)[ \t]|[A-Za-z][A-Za-z0-9+.-]*://)"
+_QUOTED = "|".join(rf"(?<={q}){_SAYS}\\?{q}){_VALUE}[^{q}\r\n]+(?={q})" for q in "\"'")
+#: Possessive, as other loops of groups take stack for each sign.
+_BARE = rf"(?<=[:=> \t])(?<![^:=> \t][ \t])(?![:=>]){_SAYS}){_VALUE}(?:(?![&;][A-Za-z0-9_ .-]{{1,40}}=|[,.;:)\]}}&]+(?:[\s\"'<>]|$))[^\s\"'<>])++"
+_BEARER = r"(?<=[ \t])(?<=\b(?i:bearer|basic)[ \t]{1,8})(?<=[:=\"'][ \t]{0,8}(?i:bearer|basic)[ \t]{1,8})[A-Za-z0-9._~+/-]+={0,2}"
+_IN_URL = r"(?<=:)(?<=://[^\s:/@\"'<>]{0,200}:)[^\s/\"'<>]+(?=@)"
+CANDIDATE = rf"{_IN_URL}|{_QUOTED}|{_BARE}|{_BEARER}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|{RUN})"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -51,6 +66,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "digits": _count(candidate, "[0-9]") / size,
         "uppers": _count(candidate, "[A-Z]") / size,
         "signs": _count(candidate, "[+/_=-]") / size,
+        "marks": _count(candidate, "[^A-Za-z0-9+/_=-]") / size,
+        "left_out": has(low, r"^[$<{%\[]|^(your|my|the|some|example)[^a-z]|^(.)\2+$|^(none|null|nil|true|false|undefined|redacted|hidden)$|[(\[]"),
         "turns": _count(candidate, "(?<=[a-z])(?=[0-9A-Z])|(?<=[0-9])(?=[a-zA-Z])|(?<=[A-Z])(?=[0-9])") / size,
         "same": _count(candidate, r"(.)\1") / size,
         "vowels": _count(low, "[aeiou]") / size,
@@ -59,9 +76,13 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "covered": (size - F.length(F.regexp_replace(low, fragments, ""))) / size,
         "uuid": has(low, "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
         "date": has(low, "(19|20)[0-9]{2}[-_/]?[01][0-9][-_/]?[0-3][0-9]"),
-        "known": has(candidate, "^(AKIA|ASIA)[0-9A-Z]{16}$|^(ghp|gho|ghs)_|^sk[-_]|^xox[abp]-|^AIza|^eyJ"),
+        "known": has(candidate, "^(AKIA|ASIA)[0-9A-Z]{16}$|^(gh[pousr]|github_pat)_|^sk[-_]|^xox[a-z]-|^AIza|^eyJ"),
         "path": has(F.lower(F.coalesce(path, F.lit(""))), PATH_WORDS),
         "asked": has(left, f"({SECRET_WORDS})[^ ]* *[=:]? *[\"']?$"),
+        "password": has(left, f"({PASS_WORDS})[a-z0-9_-]*[\"']? *[=:]+>? *[\"']?$"),
+        "firm": has(left, f"({PASS_WORDS})[a-z0-9_-]*[\"']? *([=:]+>? *[\"']|=>? *)$"),
+        "equals": has(left, "=>? *[\"']?$"),
+        "in_url": has(left, r"://[^\s/@]*:$"),
         "near_secret": has(left, SECRET_WORDS),
         "near_plain": has(left, PLAIN_WORDS),
         "assigned": has(left, "[=:] *[\"']?$"),
@@ -77,6 +98,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     pick = lambda i, words: f"element_at(array({', '.join(repr(w) for w in words)}), 1 + cast(pmod(xxhash64(id, {i}), {len(words)}) as int))"
     hexed = lambda i, k: f"substr(sha2(concat(id, ':{i}'), 256), 1, {k})"
     b64 = lambda i, k: f"substr(regexp_replace(base64(unhex(sha2(concat(id, ':{i}'), 512))), '[^A-Za-z0-9]', ''), 1, {k})"
+    letters = lambda i, k: f"substr(regexp_replace(base64(unhex(sha2(concat(id, ':{i}'), 512))), '[^A-Za-z]', ''), 1, {k})"
     word = lambda i: pick(i, [w for w in DICTIONARY if len(w) > 2])
     number = lambda i, k: f"cast(pmod(xxhash64(id, {i}), {10**k}) as string)"
     secrets = [
@@ -88,6 +110,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         f"concat('sk-', {b64(6, 32)})",
         b64(7, 20),
         hexed(8, 32),
+        letters(40, 20),
     ]
     plain = [
         f"concat({hexed(1, 8)}, '-', substr(md5(concat(id,'b')),1,4), '-', substr(md5(concat(id,'c')),1,4), '-', substr(md5(concat(id,'d')),1,4), '-', substr(md5(concat(id,'e')),1,12))",
@@ -99,6 +122,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         f"lpad(concat({number(25, 9)}, {number(26, 9)}), 18, '7')",
         f"concat({word(27)}, '/', {word(28)}, '/', {word(29)}, '/', {number(30, 4)})",
         f"concat('EXAMPLE', upper({word(31)}), '000000', {number(32, 2)})",
+        f"concat({word(41)}, initcap({word(42)}), initcap({word(43)}), initcap({word(44)}))",
+        f"concat(initcap({word(45)}), '/', {word(46)}, '-', initcap({word(47)}), '/', {word(48)})",
     ]
     asks = ["password=", "token = \"", "api_key: ", "secret=\"", "Authorization: Bearer ", "aws access key ", "and the ", "with ", "key ", "credentials: "]
     tells = ["commit ", "sha256 checksum: ", "see https://www.example.org/", "uuid=", "version ", "order id ", "file ", "in the ", "build ", "page "]
@@ -109,13 +134,47 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     digest = F.col("candidate").rlike("^[0-9a-f]+$")
     asked = F.when(F.col("label") == 1, digest & (F.col("odd") < 100) | (F.col("odd") < 60)).otherwise(~digest & (F.col("odd") < 8))
     made = made.withColumn("asked", asked)
-    return made.selectExpr(
+    loose = made.where("pmod(xxhash64(id, 95), 3) > 0").selectExpr(
         "candidate",
         f"CASE WHEN asked AND NOT (label = 1 AND candidate rlike '^[0-9a-f]+$') THEN concat('ea st the ', {pick(81, asks)}) WHEN asked THEN concat('ea st the ', {pick(82, asks[:5])}) WHEN label = 0 THEN concat('on of ', {pick(83, tells)}) ELSE concat('ou with ', {pick(84, ['the ', 'and ', 'thewhwh ', 'die ', 'les ', 'of '])}) END AS before",
         "CASE WHEN asked AND loose < 40 THEN '\" in' ELSE ' in the' END AS after",
         f"CASE WHEN label = 0 AND loose < 30 THEN concat('tests/', {word(85)}) ELSE concat('src', cast(id % 20 as string)) END AS path",
         "cast(label as double) AS label",
     )
+    # A third are values that only their place tells, told by a secret word or a URL.
+    sign = lambda i: pick(i, ["!", "&", "#", "$", "%", "*", "?", "@", ".", "-"])
+    passwords = [
+        f"concat(translate({word(50)}, 'oae', '04@'), {sign(51)}, {number(52, 2)})",
+        f"concat(initcap({word(53)}), {number(54, 3)}, {sign(55)})",
+        f"concat({b64(56, 5)}, {sign(57)}, {b64(58, 4)})",
+        b64(59, 9),
+        letters(60, 12),
+        letters(61, 20),
+        f"concat({word(62)}, {number(63, 2)}, {sign(64)}, {b64(65, 3)})",
+    ]
+    phrases = [f"concat_ws('-', {word(66)}, {word(67)}, {word(68)}, {word(69)})", f"concat_ws(' ', {word(66)}, {word(67)}, {word(68)}, {word(69)})", word(70)]
+    ordinary = [word(71), f"initcap({word(72)})", f"concat({word(73)}, '_', {word(74)})", f"concat({word(75)}, ' ', {word(76)})", number(86, 3), f"concat({word(87)}, '.', {word(88)})"]
+    fillers = [f"concat('${{', upper({word(89)}), '}}')", f"concat('<', {word(90)}, '>')", f"concat('your_', {word(91)})", f"concat({word(92)}, '(', {word(93)}, ')')", pick(94, ["null", "none", "true", "false", "********", "xxxxxxxx"])]
+    keys = ["api_key: ", "token=", 'token = "', "auth: ", "access_key=", 'secret_key: "']
+    holders = ["password=", 'password = "', "pwd=", "passwd: ", 'db_password: "', "secret=", 'secret="', "credential: ", "pass = '"]
+    firm = ["password=", 'password = "', "pwd=", 'db_password: "', "pass = '"]
+    urls = ["postgres://app:", "https://user:", "redis://:", "amqp://guest:"]
+    placed = made.where("pmod(xxhash64(id, 95), 3) = 0").selectExpr("id", "label", "pmod(xxhash64(id, 96), 10) AS sort")
+    value = f"CASE WHEN label = 1 AND sort < 7 THEN {case(passwords, 97)} WHEN label = 1 THEN {case(phrases, 98)} WHEN sort < 6 THEN {case(ordinary, 99)} ELSE {case(fillers, 100)} END"
+    told = (
+        f"CASE WHEN label = 1 AND sort < 2 THEN {pick(101, urls)} WHEN label = 1 AND sort < 4 THEN {pick(102, keys)} WHEN label = 1 AND sort < 7 THEN {pick(103, holders)} WHEN label = 1 THEN {pick(104, firm)}"
+        f" WHEN sort < 4 THEN {pick(105, [*keys, 'author: ', 'key: ', 'access: ', 'keyboard = '])} WHEN sort < 6 THEN {pick(106, ['password: ', 'pass: ', 'secret: '])} ELSE {pick(107, [*keys, *holders])} END"
+    )
+    placed = placed.selectExpr("id", "label", f"{value} AS candidate", f"{told} AS told")
+    return loose.unionByName(
+        placed.selectExpr(
+            "candidate",
+            "concat('ea st the ', told) AS before",
+            "CASE WHEN told rlike '://' THEN '@db.' WHEN told rlike '[\"\\']$' THEN concat(right(told, 1), ' in') ELSE ' in the' END AS after",
+            "concat('src', cast(id % 20 as string)) AS path",
+            "cast(label as double) AS label",
+        )
+    )
 
 
 def _tree_sql(lines: list[tuple[int, str]], at: int) -> tuple[str, int]:
@@ -146,7 +205,8 @@ def fit(spark: SparkSession, findings: DataFrame | None = None) -> str:
     """Train on labelled findings (candidate, before, after, path, label) and give the forest as SQL."""
     findings = labelled_findings(spark) if findings is None else findings
     made = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
-    rows = findings.select("label", *[c.alias(k) for k, c in made.items()])
+    # Made and measured in two stages, as the code of both is too long for one.
+    rows = findings.repartition(8).select("label", *[c.alias(k) for k, c in made.items()])
     rows = VectorAssembler(inputCols=list(made), outputCol="features").transform(rows).select("label", "features")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(rows)
     return forest_sql(model.toDebugString)
