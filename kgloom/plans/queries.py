@@ -391,7 +391,7 @@ SELECT a.id AS left_id, b.id AS right_id, round(0.8 * (1 - levenshtein(a.name, b
 FROM a JOIN b ON right(a.name, 4) = right(b.name, 4) WHERE 0.8 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name), 1)) + 0.2 * (a.attribute = b.attribute)::INT >= 0.5"""
 )
 def hybrid_er_score(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey <= 3000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("attribute"))
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("attribute"))
     b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("attribute"))
     out = resolution.hybrid_scores(a, b, F.array(F.right("name", F.lit(4))), {"name": 0.8, "attribute": 0.2}, 0.5)
     return out.withColumn("score", F.round("score", 6))

@@ -44,3 +44,24 @@ def test_query_runs(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_hybrid_er_score_scores_all_customers(spark, tmp_path):
+    a = [(i, f"Customer#{i:09d}", i % 3) for i in (7, 2999, 3001, 4500, 14999)]
+    b = [(i, f"Supplier#{i:09d}", i % 2) for i in (7, 3001, 4500, 14999)] + [(5, "Customer#000014999", 2)]
+    spark.createDataFrame(a, "c_custkey long, c_name string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(b, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+
+    def edits(x, y):
+        last = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row = [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+            last = row
+        return last[-1]
+
+    score = lambda x, y: 0.8 * (1 - edits(x[1], y[1]) / max(len(x[1]), len(y[1]))) + 0.2 * (x[2] == y[2])
+    want = sorted((x[0], y[0], round(score(x, y), 6)) for x in a for y in b if x[1][-4:] == y[1][-4:] and score(x, y) >= 0.5)
+    got = sorted(tuple(r) for r in QUERIES["hybrid_er_score"](spark, str(tmp_path)).select("left_id", "right_id", "score").collect())
+    assert got == want and any(x > 3000 for x, _, _ in want)
