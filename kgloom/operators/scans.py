@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgloom.functions import vectors as V
@@ -72,13 +71,12 @@ def silhouette(vectors: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(own > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), V.EPSILON), 0.0).mean())
 
 
-def type_splits(vectors: DataFrame, by: str, distance: float = 0.5, least_silhouette: float = 0.3, least_share: float = 0.10, sample: int = 2000) -> DataFrame:
+def type_splits(vectors: DataFrame, by: str, distance: float = 0.5, least_silhouette: float = 0.3, least_share: float = 0.10) -> DataFrame:
     """Types whose relations fall into clear clusters: silhouette, number of clusters and whether to split.
 
-    A type is judged on at most ``sample`` members, those with the smallest hashes: this is an estimate by design.
+    All members of a type are clustered, exactly and by one task, whose memory grows with the square of their number.
     """
-    rank = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64("id"), "id"))
-    rows = vectors.select(F.col(by).cast("string").alias("type"), F.col("id").cast("string").alias("id"), "embedding").withColumnRenamed("type", by).withColumn("_r", rank).where(F.col("_r") <= sample).drop("_r")
+    rows = vectors.select(F.col(by).cast("string").alias(by), F.col("id").cast("string").alias("id"), "embedding")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")

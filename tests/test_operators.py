@@ -178,3 +178,10 @@ def test_required_roles(spark):
     counts = relations.cardinalities(spark.createDataFrame(rows, "relation_id string, role_group int, role string, pos int"))
     got = {r["relation_id"]: (r["a"], r["b"]) for r in counts.select("relation_id", relations.has_required_roles(counts).alias("a"), relations.has_required_roles(counts, True).alias("b")).collect()}
     assert got == {"r": (True, False), "s": (False, False)}
+
+
+def test_type_splits_counts_and_clusters_all_members(spark):
+    row = F.when(F.col("id") % 5 == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    vectors = spark.range(2100).select("id", F.lit(3).alias("kind"), row.alias("embedding"))
+    got = scans.type_splits(vectors, "kind").collect()
+    assert [(r["kind"], r["n"], r["n_clusters"], r["is_split"]) for r in got] == [("3", 2100, 2, True)] and got[0]["silhouette"] > 0.99
