@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling.
 
-Terms are words, weighted by their length in code points (long words say more).  For every term and
+Terms are words, weighted by how often they occur times their length in code points (long words say more).  For every term and
 sample number, hashes give two gamma(2, 1) values r and c and a uniform b; with weight w the sample's
 key is  t = floor(ln w / r + b),  ln a = ln c - r (t - b) - r.  The term with the least a is the sample, and
 as a is a function of term and t, the least value itself stands for it.  Two texts agree in a sample with
@@ -30,8 +30,14 @@ KEY = ["k", "h"]
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case terms of a text."""
-    return F.array_distinct(F.split(F.lower(text), TERM_BREAK))
+    """Lower-case terms of a text, each once, with how often it occurs: runs of the sorted terms."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def runs(words: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: ~F.get(words, i - 1).eqNullSafe(F.get(words, i)))
+        return once(ends, lambda at: F.transform(at, lambda e, j: F.struct(F.get(words, e - 1).alias("term"), (e - F.coalesce(F.get(at, j - 1), F.lit(0))).alias("n"))))
+
+    return once(F.sort_array(F.split(F.lower(text), TERM_BREAK)), runs)
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -51,8 +57,9 @@ def sample_value(term_hash: Column, log_weight: Column, i: int) -> Column:
 
 def fingerprints(bodies: DataFrame, keys: list[str], body: str) -> DataFrame:
     """``keys`` and ``fingerprint`` of every body, null where there are no terms; bodies already partitioned by some of the keys are not shuffled."""
-    words = bodies.select(*keys, F.explode_outer(terms(F.col(body))).alias("_term"))
-    words = words.select(*keys, F.xxhash64("_term").alias("_hash"), F.ln(F.nullif(F.char_length("_term"), F.lit(0)).cast("double")).alias("_weight"))
+    words = bodies.select(*keys, F.explode_outer(terms(F.col(body))).alias("_t"))
+    weight = F.nullif(F.char_length("_t.term"), F.lit(0)).cast("double") * F.col("_t.n")
+    words = words.select(*keys, F.xxhash64("_t.term").alias("_hash"), F.ln(weight).alias("_weight"))
     least = [F.min(sample_value(F.col("_hash"), F.col("_weight"), i)).alias(f"_s{i}") for i in range(SAMPLES)]
     parts = [F.lpad(F.lower(F.hex(F.xxhash64(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)))), DIGITS, "0") for i in range(SAMPLES)]
     return words.groupBy(*keys).agg(*least).select(*keys, F.when(F.col("_s0").isNotNull(), F.concat(*parts)).alias("fingerprint"))

@@ -157,6 +157,18 @@ def test_fingerprint_is_consistent_weighted_sampling(spark):
     assert abs(got - math.log(c / (y * math.exp(r)))) < 1e-9
 
 
+def test_fingerprint_weighs_terms_by_how_often_they_occur(spark):
+    texts = ["a " * 1000 + "b", "a" + " b" * 1000, "Dd a dd, é a\u00e9 DD", "", "!!", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: r["t"] for r in df.select("k", weighted_sampling.terms(F.col("text")).alias("t")).collect()}
+    assert {t["term"]: t["n"] for t in got[0]} == {"a": 1000, "b": 1}
+    assert {t["term"]: t["n"] for t in got[2]} == {"dd": 3, "a": 1, "é": 1, "aé": 1} and len(got[2]) == 4 and got[5] is None
+    prints = {r["k"]: r["fingerprint"] for r in weighted_sampling.fingerprints(df, ["k"], "text").collect()}
+    # Generalised Jaccard of the two is 2 / 2000.
+    assert sum(prints[0][i : i + 8] == prints[1][i : i + 8] for i in range(0, 256, 8)) <= 1
+    assert prints[3] is None and prints[4] is None
+
+
 def test_fingerprint_edges(spark):
     rows = [(5, "one text here"), (5, "one text here"), (None, "x"), (3, None), (2, ""), (9, "é" * 5), (2, "!!")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fingerprint int")
