@@ -1,149 +1,84 @@
 """License scans by ordered signature rules.
 
-Texts are read as sequences of lower-case ASCII-delimited words.  A keyword prefilter decides which
-texts are looked at and which rules are tried on them; each rule is a regex over the word sequence with
-a tier.  A detection inside one of the same or a better tier is suppressed (of equal intervals the
-better tier and then the first rule stays); what stays gives the labels.
-
-Everything is DataFrame expressions.  The base phrases are counted for every text, apart from the rules.
-
-Cases: null text is empty; texts without words have no detections, score 0 and null first and last
-words; rows that repeat in doc_id and text get the same values; a null doc_id is kept; other columns are
-not read.
+Texts are read as sequences of lower-case ASCII-delimited words.  Each rule (see ``license_signatures``) is
+a regex over the word sequence with a tier.  A keyword prefilter decides which texts are looked at and
+which rules are tried on them.  A rule's keyword is not written by hand but read off its regex: a piece of
+a word that every match has, so the prefilter loses nothing.  A detection inside one of the same or a
+better tier is suppressed (of equal intervals the better tier and then the first rule stays); what stays
+gives the labels.
+
+Everything is DataFrame expressions.  Rules are matched where the texts are, as constant patterns; only
+places, numbers of words, are shuffled.  The base phrases are counted for every text, apart from the rules.
+
+Cases: null and empty texts, and texts without words, have no detections, score 0 and null first and last
+words; texts of any length are read whole; rows that repeat in doc_id and text get the same values; a null
+doc_id is kept; an empty table gives an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import lru_cache
+from re import _parser as re_parser
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgloom.llm.license_signatures import SIGNATURES
+
 #: Fixed values of the contract: phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Label, identifiers in tags, and the regex of the license's name as words.
-LICENSES = [
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11)(?: x11| expat)?"),
-    ("mit-0", "mit 0", r"mit no attribution"),
-    ("apache-1.1", "apache 1 1", r"apache software license(?: version)? (?:v )?1 1"),
-    ("apache-2.0", "apache 2 0", r"(?:the )?apache(?: software)?(?: license)?(?: version)? (?:v ?)?2(?: 0)?"),
-    ("apache", "apache", r"(?:the )?apache(?: software)?"),
-    ("gpl-1.0", "gpl 1 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public(?: license)?)(?: version)? (?:v ?)?1(?: 0)?"),
-    ("gpl-2.0", "gpl 2 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public(?: license)?)(?: version)? (?:v ?)?2(?: 0)?"),
-    ("gpl-3.0", "gpl 3 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public(?: license)?)(?: version)? (?:v ?)?3(?: 0)?"),
-    ("gpl", "gpl", r"(?:gnu )?(?:gpl|general public)"),
-    ("lgpl-2.0", "lgpl 2 0(?: only| or later)?", r"(?:gnu )?(?:lgpl|(?:library|lesser) general public(?: license)?)(?: version)? (?:v ?)?2(?: 0)?"),
-    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?", r"(?:gnu )?(?:lgpl|lesser general public(?: license)?)(?: version)? (?:v ?)?2 1"),
-    ("lgpl-3.0", "lgpl 3 0(?: only| or later)?", r"(?:gnu )?(?:lgpl|lesser general public(?: license)?)(?: version)? (?:v ?)?3(?: 0)?"),
-    ("lgpl", "lgpl", r"(?:gnu )?(?:lgpl|(?:library|lesser) general public)"),
-    ("agpl-3.0", "agpl 3 0(?: only| or later)?", r"(?:gnu )?(?:agpl|affero general public(?: license)?)(?: version)? (?:v ?)?3(?: 0)?"),
-    ("agpl", "agpl", r"(?:gnu )?(?:agpl|affero general public)"),
-    ("gfdl", "gfdl 1 [123](?: only| or later)?", r"(?:gnu )?(?:gfdl|free documentation)"),
-    ("bsd-2-clause", "bsd 2 clause", r"(?:simplified|freebsd|(?:2|two) clause) bsd|bsd (?:2|two) clause"),
-    ("bsd-3-clause", "bsd 3 clause", r"(?:new|modified|revised|(?:3|three) clause) bsd|bsd (?:3|three) clause"),
-    ("bsd-4-clause", "bsd 4 clause", r"(?:original|old|(?:4|four) clause) bsd|bsd (?:4|four) clause"),
-    ("bsd-0-clause", "0bsd", r"(?:zero|0) clause bsd|0bsd"),
-    ("bsd", "bsd", r"(?:berkeley software distribution|bsd)(?: style)?"),
-    ("isc", "isc", r"(?:internet (?:software|systems) consortium|isc)"),
-    ("mpl-1.1", "mpl 1 1", r"(?:mozilla public|mpl)(?: license)?(?: version)? (?:v ?)?1 1"),
-    ("mpl-2.0", "mpl 2 0", r"(?:mozilla public|mpl)(?: license)?(?: version)? (?:v ?)?2(?: 0)?"),
-    ("mpl", "mpl", r"(?:mozilla public|mpl)"),
-    ("epl-1.0", "epl 1 0", r"(?:eclipse public|epl)(?: license)?(?: version)? (?:v ?)?1(?: 0)?"),
-    ("epl-2.0", "epl 2 0", r"(?:eclipse public|epl)(?: license)?(?: version)? (?:v ?)?2(?: 0)?"),
-    ("epl", "epl", r"(?:eclipse public|epl)"),
-    ("edl", "edl 1 0", r"eclipse distribution"),
-    ("cddl-1.0", "cddl 1 0", r"(?:common development and distribution|cddl)"),
-    ("cpl-1.0", "cpl 1 0", r"common public"),
-    ("ipl-1.0", "ipl 1 0", r"ibm public"),
-    ("apsl-2.0", "apsl 2 0", r"apple public source"),
-    ("artistic-1.0", "artistic 1 0(?: perl)?", r"(?:perl )?artistic(?: license)?(?: version)? 1(?: 0)?"),
-    ("artistic-2.0", "artistic 2 0", r"artistic(?: license)?(?: version)? 2(?: 0)?"),
-    ("artistic", "artistic", r"(?:clarified )?artistic"),
-    ("bsl-1.0", "bsl 1 0", r"boost software"),
-    ("busl-1.1", "busl 1 1", r"business source"),
-    ("zlib", "zlib", r"(?:zlib libpng|zlib|libpng)"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"(?:wtfpl|do what the fuck you want to public)"),
-    ("cc0-1.0", "cc0 1 0", r"(?:cc0|creative commons zero|cc zero)"),
-    ("cc-by-4.0", "cc by 4 0", r"(?:creative commons attribution|cc by)(?: international)?(?: public license)? 4 0"),
-    ("cc-by-3.0", "cc by 3 0", r"(?:creative commons attribution|cc by)(?: unported)? 3 0"),
-    ("cc-by", "cc by", r"(?:creative commons attribution|cc by)"),
-    ("cc-by-sa-4.0", "cc by sa 4 0", r"(?:creative commons attribution share ?alike|cc by sa) 4 0"),
-    ("cc-by-sa-3.0", "cc by sa 3 0", r"(?:creative commons attribution share ?alike|cc by sa) 3 0"),
-    ("cc-by-sa", "cc by sa", r"(?:creative commons attribution share ?alike|cc by sa)"),
-    ("cc-by-nc", "cc by nc(?: [34] 0)?", r"(?:creative commons attribution non ?commercial|cc by nc)"),
-    ("cc-by-nd", "cc by nd(?: [34] 0)?", r"(?:creative commons attribution no ?deriv(?:s|atives)|cc by nd)"),
-    ("cc-by-nc-sa", "cc by nc sa(?: [34] 0)?", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)"),
-    ("cc-by-nc-nd", "cc by nc nd(?: [34] 0)?", r"(?:creative commons attribution non ?commercial no ?deriv(?:s|atives)|cc by nc nd)"),
-    ("creative-commons", "cc", r"creative commons"),
-    ("odbl-1.0", "odbl 1 0", r"(?:open data commons open database|odbl)"),
-    ("odc-by", "odc by 1 0", r"open data commons attribution"),
-    ("pddl", "pddl 1 0", r"(?:public domain dedication and|pddl)"),
-    ("ogl-uk", "ogl uk [123] 0", r"open government"),
-    ("ofl-1.1", "ofl 1 1", r"(?:sil open font|ofl)"),
-    ("psf-2.0", "psf 2 0|python 2 0", r"(?:python software foundation|psf)"),
-    ("php-3.01", "php 3 01", r"php"),
-    ("ruby", "ruby", r"ruby"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl"),
-    ("ncsa", "ncsa", r"(?:university of illinois ncsa|ncsa)(?: open source)?"),
-    ("ms-pl", "ms pl", r"microsoft public"),
-    ("ms-rl", "ms rl", r"microsoft reciprocal"),
-    ("eupl-1.2", "eupl 1 [12]", r"(?:european union public|eupl)"),
-    ("cecill", "cecill(?: 2 1| b| c)?", r"cecill"),
-    ("osl-3.0", "osl 3 0", r"open software"),
-    ("afl-3.0", "afl 3 0", r"academic free"),
-    ("upl-1.0", "upl 1 0", r"universal permissive"),
-    ("sspl-1.0", "sspl 1 0", r"server side public"),
-    ("elastic-2.0", "elastic 2 0", r"elastic"),
-    ("mulan-psl", "mulanpsl 2 0", r"mulan (?:permissive software|psl)"),
-    ("w3c", "w3c", r"w3c(?: software)?"),
-    ("vim", "vim", r"vim"),
-    ("sleepycat", "sleepycat", r"sleepycat"),
-    ("qpl-1.0", "qpl 1 0", r"q public"),
-    ("intel", "intel", r"intel open source"),
-    ("blueoak", "blueoak 1 0 0", r"blue oak model"),
-]
-
 #: Tiers, best first, and how sure a detection of each is.
-TAG, GRANT, NAMED, NOTICE = 0, 1, 2, 3
-SURE = {TAG: 1.0, GRANT: 0.95, NAMED: 0.8, NOTICE: 0.5}
-
-#: Rules that stand alone: label, tier, keyword, regex over words.
-NOTICES = [
-    ("mit", GRANT, "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", GRANT, "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("bsd", GRANT, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("zlib", GRANT, "altered", r"altered source versions must be plainly marked as such"),
-    ("gpl", GRANT, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", GRANT, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("apache-2.0", GRANT, "apache", r"apache org licenses license 2 0"),
-    ("unlicense", GRANT, "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", NAMED, "domain", r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain"),
-    ("public-domain", NOTICE, "domain", r"public domain"),
-    ("copyright", NOTICE, "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]"),
-    ("all-rights-reserved", NOTICE, "rights", r"all rights reserved"),
-    ("proprietary", NAMED, "proprietary", r"proprietary and confidential"),
-    ("commercial", NAMED, "licen", r"commercial licen[sc]e"),
-]
-
-#: A text without any of these has no detections.
-KEYWORDS = sorted({"licen", "spdx", *(k for _, _, k, _ in NOTICES)})
-
-
-def rules() -> list[tuple[int, str, int, str, str]]:
-    """Number, label, tier, keyword and regex of every rule, in order."""
+TIERS = {"T": 0, "G": 1, "N": 2, "O": 3}
+SURE = {0: 1.0, 1: 0.95, 2: 0.8, 3: 0.5}
+#: Keywords that are taken where a rule's matches have them; elsewhere it is the longest piece that all matches have.
+ANCHORS = ("spdx", "licen", "permission", "redistribut", "copyright", "warrant", "gpl", "creative", "bsd")
+
+
+class Rule(NamedTuple):
+    number: int
+    label: str
+    tier: int
+    keyword: str
+    regex: str
+
+
+def certain(regex: str) -> list[str]:
+    """Pieces of words that every match of a regex has: its runs of plain characters outside groups, choices and repeats."""
+    runs = [""]
+    for kind, value in re_parser.parse(regex):
+        if str(kind) == "LITERAL":
+            runs[-1] += chr(value)
+        else:
+            runs.append("")
+    return [piece for run in runs for piece in run.split(" ") if piece]
+
+
+def keyword(regex: str) -> str:
+    pieces = certain(regex)
+    return next((a for a in ANCHORS if any(a in p for p in pieces)), None) or max(pieces, key=len)
+
+
+@lru_cache(maxsize=1)
+def rules() -> tuple[Rule, ...]:
+    """All rules in order; a regex takes the space before its first word and looks at the one behind its last."""
     out = []
-    for label, tag, name in LICENSES:
-        out.append((label, TAG, "spdx", rf"spdx license identifier (?:{tag})"))
-        out.append((label, GRANT, "licen", rf"(?:licensed|released|distributed|available|published|covered|provided) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:conditions of )?(?:the )?(?:{name})(?: licen[sc]e)?"))
-        out.append((label, GRANT, "licen", rf"licen[sc]e (?:is )?(?:{name})(?= |$)"))
-        out.append((label, NAMED, "licen", rf"(?:{name}) (?:public )?licen[sc]es?"))
-    out += [(label, tier, keyword, regex) for label, tier, keyword, regex in NOTICES]
-    return [(i, label, tier, keyword, f" {regex}(?= )") for i, (label, tier, keyword, regex) in enumerate(out)]
+    for number, line in enumerate(SIGNATURES.strip().splitlines()):
+        label, tier, regex = line.split(" ", 2)
+        regex = f" {regex.replace('~', 'licen[sc]e')}(?= )"
+        out.append(Rule(number, label, TIERS[tier], keyword(regex), regex))
+    return tuple(out)
+
+
+@lru_cache(maxsize=1)
+def keywords() -> tuple[str, ...]:
+    """A text without any of these has no detections and no base phrase (all of which have ``licen``)."""
+    return tuple(sorted({"licen", *(r.keyword for r in rules())}))
 
 
 def lowered(text: Column) -> Column:
@@ -160,23 +95,31 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """The rules as a table; their number is fixed, so it may be broadcast."""
-    q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ", ".join(f"({i}, {q(label)}, {tier}, {q(keyword)}, {q(regex)})" for i, label, tier, keyword, regex in rules())
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(rule, label, tier, keyword, regex)")
+def _places(line: Column, rule: Rule) -> Column:
+    """What a rule finds in a word line: for each hit its number, the words before it since the last one, and its own; the last has no hit."""
+    parts = F.arrays_zip(F.split(line, rule.regex, -1).alias("gap"), F.regexp_extract_all(line, F.lit(rule.regex), F.lit(0)).alias("hit"))
+    shown = lambda x, at: F.struct(F.lit(rule.number).alias("rule"), at.alias("at"), spaces(x["gap"]).alias("gap"), F.coalesce(spaces(x["hit"]), F.lit(0)).alias("long"))
+    return F.when(line.rlike(rule.regex), F.transform(parts, shown))
+
+
+def _tried(line: Column) -> Column:
+    """What all rules find; those of a keyword are tried on lines that have it."""
+    groups = [F.when(F.contains(line, F.lit(k)), _joined([_places(line, r) for r in rules() if r.keyword == k])) for k in keywords()]
+    return _joined(groups)
+
+
+def _joined(arrays: list[Column]) -> Column:
+    return F.flatten(F.array_compact(F.array(*arrays)))
 
 
 def detections(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, label, tier and the word interval [first, past) of what stays; ``lines`` has one row per key with its word line."""
-    kept = [F.when(F.contains(F.col("line"), F.lit(k)), F.lit(k)) for k in KEYWORDS]
-    gated = lines.select(*keys, "line", F.explode(F.array_compact(F.array(*kept))).alias("keyword"))
-    tried = gated.join(F.broadcast(rule_table(lines.sparkSession)), "keyword").where(F.expr("line rlike regex"))
-    parts = tried.select(*keys, "rule", "label", "tier", F.posexplode(F.arrays_zip(F.expr("split(line, regex, -1)").alias("gap"), F.expr("regexp_extract_all(line, regex, 0)").alias("hit"))).alias("at", "part"))
-    parts = parts.select(*keys, "rule", "label", "tier", "at", spaces(F.col("part.gap")).alias("gap"), F.coalesce(spaces(F.col("part.hit")), F.lit(0)).alias("long"))
+    """``keys``, label, tier and the word interval [first, past) of what stays; ``lines`` has a word line with each key, null where there is nothing to find."""
+    parts = lines.where(F.col("line").isNotNull()).select(*keys, F.explode(_tried(F.col("line"))).alias("p")).select(*keys, "p.*").dropDuplicates([*keys, "rule", "at"])
     before = W.partitionBy(*keys, "rule").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    found = parts.select(*keys, "rule", "label", "tier", "long", (F.col("gap") + F.coalesce(F.sum(F.col("gap") + F.col("long")).over(before), F.lit(0))).cast("long").alias("first")).where("long > 0")
-    found = found.withColumn("past", F.col("first") + F.col("long"))
+    found = parts.select(*keys, "rule", "long", (F.col("gap") + F.coalesce(F.sum(F.col("gap") + F.col("long")).over(before), F.lit(0))).cast("long").alias("first")).where("long > 0")
+    at = F.col("rule") + 1
+    label, tier = F.array(*[F.lit(r.label) for r in rules()]), F.array(*[F.lit(r.tier) for r in rules()])
+    found = found.select(*keys, "rule", F.element_at(label, at).alias("label"), F.element_at(tier, at).alias("tier"), "first", (F.col("first") + F.col("long")).alias("past"))
     order = W.partitionBy(*keys).orderBy("first", F.desc("past"), "tier", "rule").rowsBetween(W.unboundedPreceding, -1)
     covers = [(F.col("tier") >= t) & (F.coalesce(F.max(F.when(F.col("tier") <= t, F.col("past"))).over(order), F.lit(-1)) >= F.col("past")) for t in sorted(SURE)]
     hidden = covers[0] | covers[1] | covers[2] | covers[3]
@@ -186,8 +129,11 @@ def detections(lines: DataFrame, keys: list[str]) -> DataFrame:
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Base counts and places, labels and score of every row."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    may = F.lower(body).rlike("|".join(KEYWORDS))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), may.alias("may"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), F.lower(body).alias("low"))
+    may = F.lit(False)
+    for k in keywords():
+        may = may | F.contains("low", F.lit(k))
+    rows = rows.select("doc_id", "body", may.alias("may"))
     line = F.when(F.col("may"), word_line(F.col("body")))
     rows = rows.select("doc_id", F.xxhash64("body").alias("h"), F.regexp_count("body", F.lit(WORD)).cast("long").alias("n_words"), line.alias("line"))
     counts = {p: F.coalesce(F.regexp_count("line", F.lit(f" {p}(?= )")), F.lit(0)) for p in BASE}
@@ -198,7 +144,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     named = F.array_compact(F.array(*[F.when(c > 0, F.lit(BASE[p])) for p, c in counts.items()]))
     base = rows.select("doc_id", "h", "n_words", total.cast("long").alias("n_base"), F.when(total > 0, first).cast("long").alias("first_word"), F.when(total > 0, last).cast("long").alias("last_word"), named.alias("_base"))
     keys = ["_k", "_h"]
-    lines = rows.where(F.col("line").isNotNull()).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("h").alias("_h"), "line").dropDuplicates(keys)
+    lines = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("h").alias("_h"), "line")
     found = detections(lines, keys).groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.min("tier").alias("_tier"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     out = base.join(found.hint("shuffle_merge"), (key == F.col("_k")) & (F.col("h") == F.col("_h")), "left")
@@ -206,4 +152,4 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sure = F.lit(0.0)
     for tier in sorted(SURE, reverse=True):
         sure = F.when(F.col("_tier") == tier, F.lit(SURE[tier])).otherwise(sure)
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("_base")).alias("base_labels"), joined(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))).alias("labels"), F.greatest(sure, F.when(F.col("n_base") > 0, F.lit(SURE[NAMED])).otherwise(0.0)).alias("score"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("_base")).alias("base_labels"), joined(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>")))).alias("labels"), F.greatest(sure, F.when(F.col("n_base") > 0, F.lit(SURE[2])).otherwise(0.0)).alias("score"))
