@@ -1,12 +1,18 @@
 """Media columns: payloads as PNG images in binary columns, with perceptual hashes.
 
-The stored form is an 8-bit PNG: a zlib stream in IDAT chunks, each chunk with its CRC.  Reading
-tests every chunk's checksum, inflates, undoes the five row filters with numpy, and hashes the image
-by the signs of its low-frequency cosine coefficients.
+The stored form is an 8-bit PNG: each row under the filter that leaves the smallest sum of absolute
+differences, a zlib stream in IDAT chunks, each chunk with its CRC.  Reading tests every chunk's
+checksum, inflates, undoes the five row filters with numpy, and hashes the image by the signs of its
+low-frequency cosine coefficients.
+
+Sub and Up are undone by running sums.  Average and Paeth need the pixels to the left and above, so images
+with such rows are undone along anti-diagonals, those of all images of a slice together.
 
 Cases: null text counts as empty and is stored as one padded row; null media give nulls and status
-``null``; damaged media give a null payload and say in ``status`` what is wrong.  Payloads are never
-cut; their length is bounded by what a binary value can hold.
+``null``; damaged media, of whatever kind, give a null payload and say in ``status`` what is wrong; rows that
+repeat get the same values; columns that have the names of the new ones are replaced; an empty table gives
+an empty table.  Payloads are never cut; their length is bounded by what a binary value can hold, and a
+stream is never inflated beyond the size that its header states.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 ROW_BYTES = 192
 PAD = 32
 IDAT_BYTES = 1 << 16
+#: Rows whose filters are chosen together.
+FILTER_ROWS = 4096
 HASH_GRID = 32
 HASH_SIDE = 8
 READ_TYPE = "struct<payload:binary,width:int,height:int,channels:int,dct_hash:binary,status:string>"
@@ -64,49 +72,105 @@ def paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    """Undo row filters.  Runs of rows under None, Sub or Up are undone together; the two that need both neighbours go pixel by pixel over one row."""
+    """Undo the row filters of one image."""
+    return unfiltered_all([(kinds, rows)], step)[0]
+
+
+def unfiltered_all(images: list[tuple[np.ndarray, np.ndarray]], step: int) -> list[np.ndarray]:
+    """Undo the row filters of images (kinds and rows) that have rows of one length."""
+    if any(len(kinds) and kinds.max() > 4 for kinds, _ in images):
+        raise ValueError("unknown row filter")
+    waves = [i for i, (kinds, _) in enumerate(images) if (kinds >= 3).any()]
+    out = [np.zeros(0)] * len(images)
+    for i in set(range(len(images))) - set(waves):
+        out[i] = _by_runs(*images[i], step)
+    for i, rows in zip(waves, _by_diagonals([images[i] for i in waves], step)):
+        out[i] = rows
+    return out
+
+
+def _by_runs(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """Rows under None, Sub and Up; runs of rows under one filter are undone together."""
     out = np.empty_like(rows)
     height, width = rows.shape
     edges = np.flatnonzero(np.diff(kinds)) + 1
     for a, b in zip(np.r_[0, edges], np.r_[edges, height]):
-        kind = kinds[a]
-        if kind == 0:
+        if kinds[a] == 0:
             out[a:b] = rows[a:b]
-        elif kind == 1:
+        elif kinds[a] == 1:
             out[a:b] = np.cumsum(rows[a:b].reshape(b - a, -1, step), axis=1, dtype=np.uint8).reshape(b - a, width)
-        elif kind == 2:
+        else:
             above = out[a - 1] if a else np.zeros(width, np.uint8)
             out[a:b] = np.cumsum(rows[a:b], axis=0, dtype=np.uint8) + above
-        elif kind in (3, 4):
-            for y in range(a, b):
-                up = (out[y - 1] if y else np.zeros(width, np.uint8)).astype(np.int16)
-                left, corner = np.zeros(step, np.int16), np.zeros(step, np.int16)
-                for x in range(0, width, step):
-                    guess = (left + up[x : x + step]) >> 1 if kind == 3 else paeth(left, up[x : x + step], corner)
-                    left = (rows[y, x : x + step] + guess) & 255
-                    corner = up[x : x + step]
-                    out[y, x : x + step] = left
-        else:
-            raise ValueError(f"unknown row filter {kind}")
     return out
 
 
-def write_png(data: bytes, row: int = ROW_BYTES, colour: int = 0, kind: int = 0, level: int = 6) -> bytes:
-    """``data`` (a positive multiple of ``row`` bytes) as a PNG; byte text compresses best unfiltered, so that is the default."""
+def _by_diagonals(images: list[tuple[np.ndarray, np.ndarray]], step: int) -> list[np.ndarray]:
+    """Rows under any filters: the pixels whose column and row number sum to the same are undone together.
+
+    Images stand below each other on one canvas, each under a row of zeros and all behind a pixel of zeros,
+    so that a pixel's neighbours are at fixed distances.
+    """
+    if not images:
+        return []
+    heights = np.array([len(kinds) for kinds, _ in images])
+    width = images[0][1].shape[1]
+    long = width + step
+    tops = np.cumsum(heights + 1) - heights
+    canvas = np.zeros((int((heights + 1).sum()), long), np.uint8)
+    for top, (kinds, rows) in zip(tops, images):
+        canvas[top : top + len(rows), step:] = rows
+    flat = canvas.ravel()
+    y = np.concatenate([np.arange(h) for h in heights])
+    starts = (np.repeat(tops, heights) + y) * long + step
+    by = np.argsort(y, kind="stable")
+    y, starts, kinds = y[by], starts[by], np.concatenate([kinds for kinds, _ in images])[by]
+    across = width // step
+    lows = np.searchsorted(y, np.arange(int(heights.max()) + across) - across, side="right")
+    highs = np.searchsorted(y, np.arange(int(heights.max()) + across), side="right")
+    lanes = np.arange(step)
+    for d, (lo, hi) in enumerate(zip(lows, highs)):
+        if lo == hi:
+            continue
+        at = starts[lo:hi] + (d - y[lo:hi]) * step
+        kind = kinds[lo:hi]
+        if step > 1:
+            at, kind = (at[:, None] + lanes).ravel(), np.repeat(kind, step)
+        left, up, corner = flat[at - step].astype(np.int16), flat[at - long].astype(np.int16), flat[at - long - step].astype(np.int16)
+        guess = np.choose(kind, (0, left, up, (left + up) >> 1, paeth(left, up, corner)))
+        flat[at] += guess.astype(np.uint8)
+    return [canvas[top : top + h, step:].copy() for top, h in zip(tops, heights)]
+
+
+def chosen_filters(rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the filter whose bytes, read as signed, have the smallest sum of absolute values (the first of equals), and the row under it."""
+    made = np.stack([filtered(rows, step, kind) for kind in range(5)])
+    cost = np.minimum(made, np.uint8(0) - made).sum(axis=2, dtype=np.int64)
+    kinds = cost.argmin(axis=0)
+    return kinds.astype(np.uint8), made[kinds, np.arange(len(rows))]
+
+
+def write_png(data: bytes, row: int = ROW_BYTES, colour: int = 0, kind: int | None = None, level: int = 6) -> bytes:
+    """``data`` (a positive multiple of ``row`` bytes) as a PNG; ``kind`` holds one filter for all rows, else each row has its own."""
     step = CHANNELS[colour]
     if not data or len(data) % row or row % step:
         raise ValueError("the payload does not fill whole rows")
     rows = np.frombuffer(data, np.uint8).reshape(-1, row)
     lines = np.empty((len(rows), row + 1), np.uint8)
-    lines[:, 0], lines[:, 1:] = kind, filtered(rows, step, kind)
+    if kind is not None:
+        lines[:, 0], lines[:, 1:] = kind, filtered(rows, step, kind)
+    else:
+        for a in range(0, len(rows), FILTER_ROWS):  # with the row above, whose own filter is not taken
+            kinds, best = chosen_filters(rows[max(0, a - 1) : a + FILTER_ROWS], step)
+            lines[a : a + FILTER_ROWS, 0], lines[a : a + FILTER_ROWS, 1:] = kinds[min(a, 1) :], best[min(a, 1) :]
     stream = zlib.compress(lines.tobytes(), level)
     parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", row // step, len(rows), 8, colour, 0, 0, 0))]
     parts += [_chunk(b"IDAT", stream[i : i + IDAT_BYTES]) for i in range(0, len(stream), IDAT_BYTES)]
     return b"".join([*parts, _chunk(b"IEND", b"")])
 
 
-def read_png(media: bytes) -> tuple[np.ndarray, int, int]:
-    """Rows of samples, width and channels; raises ValueError on any damage."""
+def parsed(media: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Filters and filtered rows of a PNG and its channels; raises ValueError on any damage."""
     if media[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, header, stream, ended = 8, None, [], False
@@ -119,7 +183,11 @@ def read_png(media: bytes) -> tuple[np.ndarray, int, int]:
             raise ValueError("a chunk is cut off")
         if zlib.crc32(kind + body) != struct.unpack(">I", media[at + 8 + size : at + 12 + size])[0]:
             raise ValueError(f"checksum of {kind.decode('latin-1')} differs")
+        if (kind == b"IHDR") != (header is None):
+            raise ValueError("the header is missing, late or repeated")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("the header has another length")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             stream.append(body)
@@ -130,18 +198,49 @@ def read_png(media: bytes) -> tuple[np.ndarray, int, int]:
         at += 12 + size
     if header is None or not ended:
         raise ValueError("header or end is missing")
-    width, height, depth, colour, _, _, interlace = header
+    width, height, depth, colour, compression, filters, interlace = header
+    if not 0 < width < 2**31 or not 0 < height < 2**31:
+        raise ValueError("width or height is out of range")
+    if compression or filters:
+        raise ValueError("unknown compression or filter method")
     if depth != 8 or colour not in CHANNELS or interlace:
         raise ValueError("only 8-bit images without interlacing are read")
     step = CHANNELS[colour]
+    size = height * (width * step + 1)
+    inflate = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(stream))
+        raw = inflate.decompress(b"".join(stream), size + 1)
     except zlib.error as e:
         raise ValueError(f"stream: {e}") from e
-    if len(raw) != height * (width * step + 1):
+    if len(raw) != size or not inflate.eof:
         raise ValueError("the stream has another length")
     lines = np.frombuffer(raw, np.uint8).reshape(height, width * step + 1)
-    return unfiltered(lines[:, 0], lines[:, 1:], step), width, step
+    if lines[:, 0].max() > 4:
+        raise ValueError("unknown row filter")
+    return lines[:, 0], lines[:, 1:], step
+
+
+def read_png(media: bytes) -> tuple[np.ndarray, int, int]:
+    """Rows of samples, width and channels; raises ValueError on any damage."""
+    kinds, rows, step = parsed(media)
+    return unfiltered(kinds, rows, step), rows.shape[1] // step, step
+
+
+def read_all(media: list[bytes | None]) -> list[tuple[np.ndarray, int] | str]:
+    """Rows of samples and channels of each image, or what is wrong with it."""
+    out: list[tuple[np.ndarray, int] | str] = ["null"] * len(media)
+    groups: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for i, image in enumerate(media):
+        if image is not None:
+            try:
+                kinds, rows, step = parsed(image)
+                groups.setdefault((rows.shape[1], step), []).append((i, kinds, rows))
+            except ValueError as e:
+                out[i] = str(e)
+    for (_, step), found in groups.items():
+        for (i, _, _), rows in zip(found, unfiltered_all([(kinds, rows) for _, kinds, rows in found], step)):
+            out[i] = (rows, step)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -185,14 +284,11 @@ def store_media(df: DataFrame, text: str = "text", into: str = "media", row: int
 def read_media(df: DataFrame, media: str = "media", into: str = "image") -> DataFrame:
     """``df`` with payload, shape, hash and status of the PNGs of a binary column."""
 
-    def one(image: bytes | None) -> dict:
-        if image is None:
-            return {"status": "null"}
-        try:
-            samples, width, step = read_png(image)
-        except ValueError as e:
-            return {"status": str(e)}
-        return {"payload": samples.tobytes(), "width": width, "height": len(samples), "channels": step, "dct_hash": dct_hash(samples, step), "status": "ok"}
+    def shown(found: tuple[np.ndarray, int] | str) -> dict:
+        if isinstance(found, str):
+            return {"status": found}
+        rows, step = found
+        return {"payload": rows.tobytes(), "width": rows.shape[1] // step, "height": len(rows), "channels": step, "dct_hash": dct_hash(rows, step), "status": "ok"}
 
     kind = T.StructType.fromDDL(READ_TYPE.removeprefix("struct<").removesuffix(">").replace(":", " "))
-    return with_columns(df, media, [T.StructField(into, kind)], lambda images: [pa.array([one(x) for x in images.to_pylist()], _IMAGE)])
+    return with_columns(df, media, [T.StructField(into, kind)], lambda images: [pa.array([shown(x) for x in read_all(images.to_pylist())], _IMAGE)])
