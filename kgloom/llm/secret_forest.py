@@ -3,13 +3,19 @@
 Candidates are long runs of token characters with a digit or with letters of both cases, keys with known
 prefixes, and, of any length and signs, values after secret words with = or : and passwords in URLs.
 Features are the candidate's length, its transitions between character classes, how much of it dictionary
-fragments cover, words of the path, and words and signs next to it.  The forest is trained on labelled findings, which are made by rules from
-``FINDINGS`` seeds in Spark itself, and is then written out as one SQL expression, so that scanning and
-redacting are plain column expressions over whole texts.
-
-Cases: null text has no candidates and stays null; a null path has no words; candidates next to the
-start or end of a text have empty neighbours; texts of any length are scanned whole; rows that repeat are
-scanned each; columns that have the names of the new ones are replaced.
+fragments cover, words of the path, and words and signs next to it.  The forest is trained on labelled
+findings and is then written out as one SQL expression, so that scanning and redacting are plain column
+expressions over whole texts.
+
+The labelled findings come from two generators with ``FINDINGS`` seeds in all, run in Spark itself: keys and
+digests in running text against identifiers, and values told by what stands before them against ordinary
+values in like places.  The words around them are drawn from the dictionary; no table is looked at.
+
+Cases: null and empty texts have no candidates and stay as they are; a null path has no words; candidates
+next to the start or end of a text have empty neighbours; texts of any length are scanned whole; rows that
+repeat in doc_id and text give their findings once, and are redacted each; a share of trees equal to the
+threshold makes a secret; an empty table gives an empty one; ``findings`` reads no other columns, whatever
+their names, and ``redacted`` keeps them.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ THRESHOLD = 0.4
 MASK = "[SECRET]"
 
 #: Fragments of ordinary words and identifiers.
-DICTIONARY = "the and ing tion ment ness able less ful over under inter pre pro con com for with from that this have not you all can her was one our out day get has him his how man new now old see two way who boy did its let put say she too use file name user data time page item list test case type code text word line path home html http https www index image photo video song news blog post article release version build update config default example sample demo report summary final draft backup copy window button table column value number string object class function method return import export module package service server client request response error event order account project issue ticket january february march april june july august september october november december monday friday".split()
+DICTIONARY = "the and ing tion ment ness able less ful over under inter pre pro con com for with from that this have not you all can her was one our out day get has him his how man new now old see two way who boy did its let put say she too use file name user data time page item list test case type code text word line path home html http https www index image photo video song news blog post article release version build update config default example sample demo report summary final draft backup copy window button table column value number string object class function method return import export module package service server client request response error event order account project issue ticket january february march april june july august september october november december monday friday red blue green black white light dark open close start stop left right first last next high low small large long short good true false null none main test local global public office school music water river garden street house table people world place group company country number family power money change market health system program question study night point area story fact month book eye job side head book hour game line member law car city name team minute idea body back parent face level door health art war history party result morning reason research girl guy moment air teacher force education".split()
+DICTIONARY = list(dict.fromkeys(DICTIONARY))
 SECRET_WORDS = "pass|pwd|secret|token|api|key|auth|credential|bearer|private|access|signature"
 PLAIN_WORDS = "commit|sha|md5|checksum|hash|digest|uuid|guid|version|revision|build|isbn|serial|order|invoice|see|ref|page|figure|http|www|id "
 PATH_WORDS = "test|example|sample|mock|fixture|demo|doc|spec"
@@ -90,8 +97,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     }
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Findings with labels: random keys in several alphabets against digests, identifiers, words, dates and counters.
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, start: int = 0) -> DataFrame:
+    """Findings with labels, one for each seed from ``start`` on: random keys in several alphabets against digests, identifiers, words, dates and counters.
 
     Each kind stands in neighbourhoods of its own sort most of the time and of the other sort at times.
     """
@@ -127,16 +134,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     ]
     asks = ["password=", "token = \"", "api_key: ", "secret=\"", "Authorization: Bearer ", "aws access key ", "and the ", "with ", "key ", "credentials: "]
     tells = ["commit ", "sha256 checksum: ", "see https://www.example.org/", "uuid=", "version ", "order id ", "file ", "in the ", "build ", "page "]
-    made = spark.range(n).selectExpr("id", "cast(id % 2 as int) as label", "pmod(xxhash64(id, 77), 100) as odd", "pmod(xxhash64(id, 78), 100) as loose")
+    made = spark.range(start, start + n).selectExpr("id", "cast(id % 2 as int) as label", "pmod(xxhash64(id, 77), 100) as odd", "pmod(xxhash64(id, 78), 100) as loose")
     case = lambda kinds, i: "CASE " + " ".join(f"WHEN pmod(xxhash64(id, {i}), {len(kinds)}) = {j} THEN {k}" for j, k in enumerate(kinds)) + " END"
     # Digests are secrets only where something asks for one.
     made = made.selectExpr("id", "label", "odd", "loose", f"CASE WHEN label = 1 THEN {case(secrets, 79)} ELSE {case(plain, 80)} END AS candidate")
     digest = F.col("candidate").rlike("^[0-9a-f]+$")
-    asked = F.when(F.col("label") == 1, digest & (F.col("odd") < 100) | (F.col("odd") < 60)).otherwise(~digest & (F.col("odd") < 8))
+    asked = F.when(F.col("label") == 1, digest | (F.col("odd") < 60)).otherwise(~digest & (F.col("odd") < 8))
     made = made.withColumn("asked", asked)
+    talk = lambda i: f"concat({word(i)}, ' ', {word(i + 1)}, ' ')"
     loose = made.where("pmod(xxhash64(id, 95), 3) > 0").selectExpr(
         "candidate",
-        f"CASE WHEN asked AND NOT (label = 1 AND candidate rlike '^[0-9a-f]+$') THEN concat('ea st the ', {pick(81, asks)}) WHEN asked THEN concat('ea st the ', {pick(82, asks[:5])}) WHEN label = 0 THEN concat('on of ', {pick(83, tells)}) ELSE concat('ou with ', {pick(84, ['the ', 'and ', 'thewhwh ', 'die ', 'les ', 'of '])}) END AS before",
+        f"CASE WHEN asked AND NOT (label = 1 AND candidate rlike '^[0-9a-f]+$') THEN concat({talk(120)}, {pick(81, asks)}) WHEN asked THEN concat({talk(122)}, {pick(82, asks[:5])}) WHEN label = 0 THEN concat({talk(124)}, {pick(83, tells)}) ELSE {talk(126)} END AS before",
         "CASE WHEN asked AND loose < 40 THEN '\" in' ELSE ' in the' END AS after",
         f"CASE WHEN label = 0 AND loose < 30 THEN concat('tests/', {word(85)}) ELSE concat('src', cast(id % 20 as string)) END AS path",
         "cast(label as double) AS label",
@@ -153,7 +161,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         f"concat({word(62)}, {number(63, 2)}, {sign(64)}, {b64(65, 3)})",
     ]
     phrases = [f"concat_ws('-', {word(66)}, {word(67)}, {word(68)}, {word(69)})", f"concat_ws(' ', {word(66)}, {word(67)}, {word(68)}, {word(69)})", word(70)]
-    ordinary = [word(71), f"initcap({word(72)})", f"concat({word(73)}, '_', {word(74)})", f"concat({word(75)}, ' ', {word(76)})", number(86, 3), f"concat({word(87)}, '.', {word(88)})"]
+    # Names and words of no dictionary, spelt as they are spoken.
+    spoken = lambda i: "concat(" + ", ".join([pick(i, ["b", "br", "d", "gr", "h", "j", "k", "l", "m", "n", "p", "r", "s", "sm", "st", "t", "w"]), pick(i + 1, ["a", "e", "i", "o", "u"]), pick(i + 2, ["l", "m", "n", "r", "s", "t", "th", "ck", "ss"]), pick(i + 3, ["", "", "a", "er", "on", "ing", "o", "ia"])]) + ")"
+    ordinary = [f"initcap({spoken(130)})", spoken(134), word(71), f"initcap({word(72)})", f"concat({word(73)}, '_', {word(74)})", f"concat({word(75)}, ' ', {word(76)})", number(86, 3), f"concat({word(87)}, '.', {word(88)})"]
     fillers = [f"concat('${{', upper({word(89)}), '}}')", f"concat('<', {word(90)}, '>')", f"concat('your_', {word(91)})", f"concat({word(92)}, '(', {word(93)}, ')')", pick(94, ["null", "none", "true", "false", "********", "xxxxxxxx"])]
     keys = ["api_key: ", "token=", 'token = "', "auth: ", "access_key=", 'secret_key: "']
     holders = ["password=", 'password = "', "pwd=", "passwd: ", 'db_password: "', "secret=", 'secret="', "credential: ", "pass = '"]
@@ -169,7 +179,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return loose.unionByName(
         placed.selectExpr(
             "candidate",
-            "concat('ea st the ', told) AS before",
+            f"concat({talk(128)}, told) AS before",
             "CASE WHEN told rlike '://' THEN '@db.' WHEN told rlike '[\"\\']$' THEN concat(right(told, 1), ' in') ELSE ' in the' END AS after",
             "concat('src', cast(id % 20 as string)) AS path",
             "cast(label as double) AS label",
@@ -237,11 +247,11 @@ def findings(docs: DataFrame, forest: str, doc_id: str = "doc_id", text: str = "
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_k")
     rows = docs.select(F.col(doc_id).alias("doc_id"), key, F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("body"))
     rows = rows.select("doc_id", "_k", "path", F.xxhash64("body").alias("_h"), gaps.alias("gaps"), hits.alias("hits")).where(F.col("hits").isNotNull())
-    rows = rows.dropDuplicates(["_k", "_h"])
-    parts = rows.select("doc_id", "_k", "_h", "path", "gaps", F.posexplode("hits").alias("at", "candidate"))
-    parts = parts.select("doc_id", "_k", "_h", "at", "path", "candidate", F.get("gaps", F.col("at")).alias("gap"), F.substring(F.get("gaps", F.col("at") + 1), 1, 4).alias("after"))
-    made = features(F.col("candidate"), F.right("gap", F.lit(NEAR)), F.col("after"), F.col("path"))
-    parts = parts.select("doc_id", "_k", "_h", "at", "candidate", F.length("gap").alias("gap"), F.array(*made.values()).alias("f"))
+    gap = lambda i: F.get("gaps", i)
+    each = F.transform("hits", lambda hit, i: F.struct(hit.alias("candidate"), F.length(gap(i)).alias("gap"), F.right(gap(i), F.lit(NEAR)).alias("before"), F.substring(gap(i + 1), 1, 4).alias("after")))
+    parts = rows.select("doc_id", "_k", "_h", "path", F.posexplode(each).alias("at", "c")).select("doc_id", "_k", "_h", "path", "at", "c.*")
+    made = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    parts = parts.select("doc_id", "_k", "_h", "at", "candidate", "gap", F.array(*made.values()).alias("f")).dropDuplicates(["_k", "_h", "at"])
     before = W.partitionBy("_k", "_h").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     start = F.sum(F.col("gap") + F.length("candidate")).over(before) - F.length("candidate")
     out = parts.select("doc_id", start.cast("long").alias("start"), "candidate", F.expr(forest).alias("chance"))
