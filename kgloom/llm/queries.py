@@ -138,8 +138,8 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4, 2)
-    languages, chance = language_unigrams.fit(docs.where(~held), PIECES)
-    found = language_unigrams.identify(docs.select("doc_id", "text"), PIECES, languages, chance)
+    model = language_unigrams.fit(docs.where(~held), PIECES)
+    found = language_unigrams.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
