@@ -15,8 +15,7 @@ NEAR = ngram_jaccard.Join(words=5, num=80, den=100)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    languages, chance = language_unigrams.fit(docs, PIECES)
-    found = language_unigrams.identify(docs, PIECES, languages, chance, into="__language")
+    found = language_unigrams.identify(docs, language_unigrams.fit(docs, PIECES), into="__language")
     kept = found.where((F.col("__language.lang") != language_unigrams.UND) & (F.col("__language.score") >= MIN_LANGUAGE))
     return kept.select(*docs.columns)
 
