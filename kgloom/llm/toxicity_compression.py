@@ -2,23 +2,28 @@
 
 zstandard dictionaries are trained, one on ordinary windows, others on the stretches that tell toxic
 documents from ordinary ones (short byte grams that ordinary text all but lacks, or also longer ones
-that it has more rarely).  A toxic compressor's dictionary is the trained toxic content in front of the
+that it has more rarely); trained on whole toxic windows, which are mostly ordinary prose, they tell far
+less (the README has figures).  A toxic compressor's dictionary is the trained toxic content in front of the
 shared ordinary content, so a window that owes nothing to toxic text has the same length under both and
 the difference of the two lengths is what the toxic dictionary adds.  A document's whole text is scored
 window by window; a logistic curve, fitted on labelled documents that the dictionaries have not seen,
 turns the largest and the mean differences into a probability.
 
-Training reads at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents (smallest hashes of their
-ids) and ``TRAIN_WINDOWS`` windows of each, evenly spaced; that bound is the only one.  Scoring has none.
+Training reads the whole texts of at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents, those with
+the smallest hashes of their ids, in one executor task.  Scoring has no bound.
 
-Cases: null and empty texts score as a document without windows; rows without a label, or with another
-label than 0 and 1, teach nothing; a document labelled twice counts for each label.  Without labelled
-documents of both kinds every score is the share of toxic labels (0 if there are none).
+Cases: null and empty texts score as a document without windows; texts of any length are scored whole;
+rows that repeat are scored each; rows without a label, or with another label than 0 and 1, teach nothing; a
+document labelled twice counts for each label; a score equal to the threshold is predicted toxic; columns
+named ``score`` or ``predicted`` are replaced; an empty table gives an empty one.  Without labelled documents of both
+kinds every score is the share of toxic labels (0 if there are none).
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY, TRAIN_WINDOWS = 1500, 3000, 64
+MAX_TOXIC, MAX_ORDINARY = 1500, 3000
 WINDOW, LEVEL = 48, 5
 ORDINARY_BYTES = 8192
 #: Sizes of a toxic dictionary; for each way the size with the least loss on held-back samples stays.
@@ -140,8 +145,7 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     bad, good = [b"".join(x) for x in toxic if x], [b"".join(x) for x in ordinary if x]
     if not bad or not good:
         return b"", []
-    step = max(1, sum(map(len, ordinary)) // 20_000)
-    plain = _content([w for doc in ordinary for w in doc][::step], ORDINARY_BYTES, 32, 8)
+    plain = _content([w for doc in ordinary for w in doc], ORDINARY_BYTES, 32, 8)
     ways, known = [], {size: _telling(bad, good, *size) for size in sorted({g for way in GRAMS for g in way})}
     for way in GRAMS:
         told = _balanced(bad, [(g[0], *known[g]) for g in way])
@@ -178,40 +182,34 @@ def _features_of(text: Column, ordinary: bytes, toxic: tuple[bytes, ...]) -> Col
     return measure(text)
 
 
-def _sampled(text: Column) -> Column:
-    @F.arrow_udf("array<binary>")
-    def sample(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            parts = windows(t)
-            out.append(parts if len(parts) <= TRAIN_WINDOWS else [parts[i * len(parts) // TRAIN_WINDOWS] for i in range(TRAIN_WINDOWS)])
-        return pa.array(out, pa.list_(pa.binary()))
-
-    return sample(text)
+def trained(rows: list[tuple[int, int, str | None]]) -> Model:
+    """A model of (hash, label, text) rows: two thirds by hash train the dictionaries, the others choose their sizes and the curve."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))
+    share = sum(label for _, label, _ in rows) / len(rows) if rows else 0.0
+    pick = lambda value: [windows(text) for order, label, text in rows if label == value and order % 3]
+    back = [(text, float(label)) for order, label, text in rows if order % 3 == 0]
+    y = np.array([label for _, label in back])
+    ordinary, ways = train_dictionaries(pick(1), pick(0))
+    if not ways or not len(y) or y.min() == y.max():
+        return Model(b"", (), (), share)
+    measure = lambda toxic: np.array([features(text, ordinary, toxic) for text, _ in back])
+    toxic = tuple(min(sizes, key=lambda t: loss(measure((t,)), y)) for sizes in ways)
+    return Model(ordinary, toxic, fit_logistic(measure(toxic), y), share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Train on the labelled documents for whose label rows ``learn`` holds.
-
-    Two thirds of the sampled documents (by hash) train the dictionaries, the others the curve.
-    """
+    """Train on the labelled documents for whose label rows ``learn`` holds; one task gets the bounded sample and gives the model."""
     known = labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"), F.xxhash64(F.col(doc_id)).alias("_order"))
     part = lambda value, most: known.where(F.col("_label") == value).orderBy("_order", "_id").limit(most)
     chosen = part(1, MAX_TOXIC).unionByName(part(0, MAX_ORDINARY))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = sorted((r["_order"], r["_label"], r["_w"]) for r in rows.select("_order", "_label", _sampled(F.col("_text")).alias("_w")).collect())
-    share = sum(label for _, label, _ in got) / len(got) if got else 0.0
-    pick = lambda value: [[bytes(w) for w in ws] for order, label, ws in got if label == value and order % 3]
-    back = [(b" ".join(map(bytes, ws)).decode("utf-8", "replace"), float(label)) for order, label, ws in got if order % 3 == 0]
-    y = np.array([label for _, label in back])
-    ordinary, ways = train_dictionaries(pick(1), pick(0))
-    if not ways or not len(y) or y.min() == y.max():
-        return Model(b"", (), (), share)
-    toxic = tuple(min(sizes, key=lambda t: loss(np.array([features(x, ordinary, (t,)) for x, _ in back]), y)) for sizes in ways)
-    held = rows.where(F.pmod("_order", F.lit(3)) == 0).select("_order", "_label", _features_of(F.col("_text"), ordinary, toxic).alias("_f")).collect()
-    held.sort(key=lambda r: (r["_order"], r["_label"], r["_f"]))
-    y = np.array([r["_label"] for r in held], np.float64)
-    return Model(ordinary, toxic, fit_logistic(np.array([r["_f"] for r in held]), y), share)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = trained([r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.select("_order", "_label", "_text").repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model(b"", (), (), 0.0)
 
 
 def score(text: Column, model: Model) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,19 @@ def brute_components(rows, join):
     return out
 
 
+def brute_roots(rows, join):
+    """A number for each row's component; of rows that are equal the first stands for all."""
+    sets = [grams(t, join.words) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if rows[i] == rows[j] or sets[i] and sets[j] and join.den * both >= join.num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    return root
+
+
 def near_corpus(seed=1):
     """Copies, chains of edits around the threshold, short and long texts, shared passages."""
     rng = random.Random(seed)
@@ -78,13 +92,51 @@ def test_jaccard_against_brute_force(spark, join):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows, join), key=key)
     kept = ngram_jaccard.one_of_each(df, join).collect()
-    comps = {c for _, _, c in brute_components(rows, join) if c is not None}
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None and r["doc_id"] in comps and not (r["doc_id"] == 3 and r["text"] == "a b c d")) == sorted(comps)
-    assert ngram_jaccard.similar_groups(df.limit(0), join).count() == 0
-
-
-def test_jaccard_blocks(spark, monkeypatch):
+    roots = brute_roots(rows, join)
+    assert sorted(roots[rows.index((r["doc_id"], r["text"]))] for r in kept) == sorted(set(roots))
+    assert ngram_jaccard.similar_groups(df.limit(0), join).count() == 0 and ngram_jaccard.one_of_each(df.limit(0), join).count() == 0
+
+
+def test_jaccard_null_and_repeated_ids_are_no_bridges(spark):
+    """Unrelated documents that each have a near copy without id, or under one id, stay apart; null rows do link what they are like."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two, three = words(60), words(60), words(80)
+    middle, far = [*three[:40], "y1", *three[41:]], [*three[:40], "y1", *three[41:79], "y2"]
+    rows = [(5, one), (None, [*one[:-1], "x"]), (9, two), (None, [*two[:-1], "x"]), (7, [*one[:-2], "q"]), (7, [*two[:-2], "q"]), (20, three), (None, middle), (30, far)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["text_hash"]): r["component_id"] for r in ngram_jaccard.similar_groups(df).collect()}
+    hashes = [r[0] for r in spark.createDataFrame([(n, " ".join(t)) for n, (_, t) in enumerate(rows)], "n int, text string").orderBy("n").selectExpr("xxhash64(text)").collect()]
+    assert [got[(i, h)] for (i, _), h in zip(rows, hashes)] == [5, 5, 7, 7, 5, 7, 20, 20, 20]
+    assert sorted(r["doc_id"] for r in ngram_jaccard.one_of_each(df).collect()) == [5, 7, 20]
+
+
+def test_short_texts_share_no_key():
+    join = Join()
+    keys = [k for i in range(500) for n in (1, 2, 4, 6, 8) for k in set(ngram_jaccard.file_keys(ngram_jaccard.shingles(" ".join(f"t{i}-{j}" for j in range(n)), join.words), join))]
+    keys += [k for i in range(500) for k in set(ngram_jaccard.file_keys(ngram_jaccard.shingles(" ".join(f"t{i}-{j}" for j in range(9 + i % 9)), join.words), join))]
+    assert len(keys) > 500 and max(Counter(keys).values()) <= 3
+    for join in (Join(), Join(5, 80, 100), Join(3, 90, 100)):
+        i = join.least()
+        assert join.den * i >= join.num * (i + 1) and join.den * (i - 1) < join.num * i
+
+
+def test_units_of_a_large_group_are_linear(spark):
+    n = 100_000
+    members = spark.range(n).selectExpr("1L AS key", "id AS node", f"{n}L AS m", f"cast(ceil({n} / {ngram_jaccard.BLOCK}) AS long) AS blocks")
+    own = ngram_jaccard.own_blocks(members)
+    assert n < own.count() < 1.1 * n and own.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0] < 1.5 * ngram_jaccard.BLOCK
+    one = spark.range(n).selectExpr("id AS node", "0L AS component")
+    assert ngram_jaccard.cross_blocks(members, one).count() == 0
+    few = spark.range(n).selectExpr("id AS node", "CASE WHEN id % 1000 = 7 THEN id ELSE 0L END AS component")
+    crossed = ngram_jaccard.cross_blocks(members, few)
+    assert crossed.where("second").count() == n and crossed.where("NOT second").groupBy("node").count().select("count").distinct().first()[0] == members.first()["blocks"]
+
+
+@pytest.mark.parametrize("pivots", [0, 2])
+def test_jaccard_blocks(spark, monkeypatch, pivots):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    monkeypatch.setattr(ngram_jaccard, "PIVOTS", pivots)
     rng = random.Random(7)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -123,9 +175,11 @@ def test_linked_sets_share_a_bucket():
 
 
 def true_likeness(a, b):
-    terms = lambda t: {w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w}
+    """Generalised Jaccard similarity: terms weigh their count times their length."""
+    terms = lambda t: Counter({w: n * len(w) for w, n in Counter(re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower())).items()})
     x, y = terms(a), terms(b)
-    return sum(map(len, x & y)) / sum(map(len, x | y)) if x | y else 1.0
+    most = sum((x | y).values())
+    return sum((x & y).values()) / most if most else 1.0
 
 
 def test_fingerprints(spark, sf):
@@ -158,14 +212,15 @@ def test_fingerprint_is_consistent_weighted_sampling(spark):
 
 
 def test_fingerprint_weighs_terms_by_how_often_they_occur(spark):
-    texts = ["a " * 1000 + "b", "a" + " b" * 1000, "Dd a dd, é a\u00e9 DD", "", "!!", None]
+    texts = ["spam " * 6 + "egg", "egg " * 3 + "spam", "Dd a dd, é a\u00e9 DD", "", "!!", None]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     got = {r["k"]: r["t"] for r in df.select("k", weighted_sampling.terms(F.col("text")).alias("t")).collect()}
-    assert {t["term"]: t["n"] for t in got[0]} == {"a": 1000, "b": 1}
+    assert {t["term"]: t["n"] for t in got[0]} == {"spam": 6, "egg": 1}
     assert {t["term"]: t["n"] for t in got[2]} == {"dd": 3, "a": 1, "é": 1, "aé": 1} and len(got[2]) == 4 and got[5] is None
     prints = {r["k"]: r["fingerprint"] for r in weighted_sampling.fingerprints(df, ["k"], "text").collect()}
-    # Generalised Jaccard of the two is 2 / 2000.
-    assert sum(prints[0][i : i + 8] == prints[1][i : i + 8] for i in range(0, 256, 8)) <= 1
+    # By distinct terms the two are equal, by their weights 7 of 33 agree.
+    assert abs(true_likeness(texts[0], texts[1]) - 7 / 33) < 1e-9
+    assert 1 <= sum(prints[0][i : i + 8] == prints[1][i : i + 8] for i in range(0, 256, 8)) <= 14
     assert prints[3] is None and prints[4] is None
 
 
@@ -245,8 +300,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     docs.unionByName(extra).write.parquet(str(tmp_path / "documents.parquet"))
     path = public_tokenizers.path("piece_bpe_32k.model")
     start = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    languages, chance = language_unigrams.fit(start, path)
-    scorer = language_unigrams.Scorer(path, languages, chance)
+    scorer = language_unigrams.Scorer(language_unigrams.fit(start, path))
     rows = [r for r in start.collect() if (s := scorer.score([r["text"]])[0])["lang"] != "und" and s["score"] >= corpus_pipeline.MIN_LANGUAGE]
     comps = brute_components([(r["doc_id"], r["text"]) for r in rows], corpus_pipeline.NEAR)
     rows = [r for r, (i, _, c) in zip(rows, comps) if i == c]

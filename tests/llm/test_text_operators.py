@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import regex
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from kgloom.llm import language_unigrams, license_rules, queries, secret_forest, sentencepiece_bpe, toxicity_compression
@@ -137,7 +138,7 @@ def test_toxicity_on_held_out_rows(spark):
     y, s = np.array([r["toxic"] for r in rows]), np.array([r["score"] for r in rows])
     order = np.argsort(np.argsort(s))
     auc = (order[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / y.sum() / (len(y) - y.sum())
-    assert auc > 0.83 and np.mean((s >= 0.7) == (y == 1)) > 0.92
+    assert auc > 0.89 and np.mean((s >= 0.7) == (y == 1)) > 0.93
 
 
 def test_toxicity_edges(spark):
@@ -146,11 +147,36 @@ def test_toxicity_edges(spark):
     model = toxicity_compression.fit(rows, labels, F.lit(True))
     got = toxicity_compression.flagged(rows, model).collect()
     assert len(got) == 5 and {r["score"] for r in got} == {0.0}
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice("abcdefghij") + rng.choice("aeiou") + rng.choice("lmnrst") + rng.choice(["", "er", "ing"]) for _ in range(60))
+    texts = [f"{prose()} you vilest wretchling {prose()}" if i % 3 == 0 else prose() for i in range(300)]
+    both = spark.createDataFrame([(i, t, "old", "old") for i, t in enumerate([*texts, None, "", "é" * 100_000])], "doc_id long, text string, score string, predicted string")
+    marks = spark.createDataFrame([(i, 1 - min(i % 3, 1)) for i in range(200)] + [(1, 7), (2, None)], "doc_id long, toxic int")
+    model = toxicity_compression.fit(both, marks, F.lit(True))
+    got = {r["doc_id"]: r for r in toxicity_compression.flagged(both, model).collect()}
+    assert [got[i]["predicted"] for i in range(200, 300)] == [1 - min(i % 3, 1) for i in range(200, 300)]
+    assert got[300]["score"] == got[301]["score"] and 0 <= got[302]["score"] <= 1 and toxicity_compression.flagged(both.limit(0), model).count() == 0
+    assert toxicity_compression.fit(both.limit(0), marks.limit(0), F.lit(True)).base == 0.0
     parts = toxicity_compression.windows("Word, " * 50 + "y" * 200)
     assert all(len(p) <= toxicity_compression.WINDOW + 1 for p in parts)
     assert b"".join(p[:-1] for p in parts).replace(b" ", b"") == (b"word" * 50 + b"y" * 200)
 
 
+def test_compression_features_by_hand():
+    """Lengths of whole compressor runs, one window at a time, without shared compressors."""
+    ordinary, toxic = b" and the other words of it" * 9, b" vilest wretchling fool" * 5
+    text = "The vilest wretchling and the other words; of it. " * 7 + "Fool!"
+
+    def size(window, content):
+        made = zstandard.ZstdCompressor(level=toxicity_compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(made.compress(window))
+
+    parts = toxicity_compression.windows(text)
+    gain = np.array([size(w, ordinary) - size(w, toxic + ordinary) for w in parts])
+    want = [np.log1p(len(parts)), *sorted(gain, reverse=True)[:3], gain.mean(), np.maximum(gain - 3, 0).mean()]
+    assert np.allclose(toxicity_compression.features(text, ordinary, (toxic,)), want) and gain.max() > 3
+
+
 def brute_license(text):
     """The base columns and labels by plain Python over words; every rule is tried on every text."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
