@@ -4,26 +4,36 @@ A document is the set of its distinct word shingles.  Shingles are hashed into g
 group are a point, and the sum of the smaller coordinates of two points bounds the overlap of their
 sets.  Points are indexed in R-trees; what the bound leaves is verified on the sets themselves.
 
-No tree can hold a whole corpus, so documents are first dealt to buckets without losing a link.  Two
-sets that link differ in at most T shingles, T following from their sizes, so that of K = T + 1 + s
-groups at least 1 + s hold the same shingles in both.  A document is therefore filed under the content
+Equal sets are one node from the start, found by a 64-bit signature and not by pairs; a document's id is
+looked up again only when the components are known, so documents that share an id, or have none, are
+kept apart.
+
+No tree can hold a whole corpus, so nodes are first dealt to buckets without losing a link.  Two
+different sets that link differ in at most T shingles, T following from their sizes, so that of K = T + 1 + s
+groups at least 1 + s hold the same shingles in both.  A set is therefore filed under the content
 of each of its groups, for its own class of sizes and for the border to the next; the slack s makes it
-safe to leave empty groups out (documents with more than s empty groups file those too).  Buckets with
-the same members count once.
+safe to leave empty groups out, and half as many of the smallest as are then still to spare (sets with more
+than s empty groups file those too).  Sets so small that they can only link to equal ones are not filed.
+Buckets with the same members count once.
 
 Trees over the points of each bucket's members give the pairs that the bound leaves, of which only a
 spanning forest goes on; the components of these forests are the clusters that links stay within.  A
-cluster's sets then meet once, in trees again, and are verified; pairs that are connected already are
-not looked at and again only a forest of links goes on, never all pairs.  Buckets and clusters of more
-than ``BLOCK`` members are cut into blocks, and every pair of blocks is a unit of its own.
+cluster's sets then meet in trees again and are verified; again only a forest of links goes on.
+
+Both steps work on units of bounded size.  A bucket or cluster of more than ``BLOCK`` members is cut into
+blocks, and each block also gets the group's ``PIVOTS`` pivots, which tie the blocks of near copies
+together.  Where more than one component is left in such a group, its members outside the largest
+component meet all blocks; members of one component are never compared.  A group of near copies so costs
+rows in proportion to its size.
 
-Equal sets are one class from the start, found by signatures and not by pairs.  Components are found by
-spreading smallest ids along links with pointer jumping; every round is a table in the shared folder.
+Components are found by spreading smallest names along links with pointer jumping; every round is a table
+in the shared folder.
 
 Cases: null and empty texts, and texts without words, have no shingles and are components of their own;
-texts with fewer words than a shingle have one, the whole sequence; rows that repeat are equal sets;
-rows without doc_id take part, and a component's id is the smallest doc_id that is not null (null if
-there is none); other columns are not read.
+texts with fewer words than a shingle have one, the whole sequence; very long texts are whole, and blocks
+get fewer members where sets are large; rows that repeat are equal sets; rows without doc_id take part,
+and a component's id is the smallest doc_id that is not null (null if there is none); an empty table gives
+an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +52,15 @@ from kgloom.llm.arrow_batches import slices
 from kgloom.llm.storage import discard, written
 
 NO_ID = 2**63 - 1
+#: Members of a block, shingles of a block (8 bytes each), and about how many pivots a large group has.
 BLOCK = 512
+BLOCK_SHINGLES = 2_000_000
+PIVOTS = 16
+#: Signatures that a filing task remembers, so as not to file copies again; it saves work only.
+SEEN = 50_000
+#: Rows of crossed blocks up to which the names of their sets are broadcast, so that other sets stay where they are.
+BROADCAST_ROWS = 200_000
+SLICE = 4_000_000
 LEAF = 16
 AXES = (64, 1024)
 
@@ -72,6 +90,10 @@ class Join:
     def bounds(self) -> np.ndarray:
         return _bounds(self.num, self.den)
 
+    def least(self) -> int:
+        """The smallest size of a set that can link to a different one: i / (i + 1) must reach the similarity."""
+        return -(-self.num // (self.den - self.num)) if self.den > self.num else 2**62
+
 
 @lru_cache(maxsize=4)
 def _bounds(num: int, den: int) -> np.ndarray:
@@ -118,15 +140,17 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(mix(total, 1))
 
 
-def signature(found: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over a set, as signed numbers."""
+def signature(found: np.ndarray) -> int:
+    """A 64-bit name of a set, as a signed number: the mixed sum of its mixed hashes."""
     with np.errstate(over="ignore"):
-        pair = np.array([mix(found, 1).sum(dtype=np.uint64), mix(found, 2).sum(dtype=np.uint64)], np.uint64)
-    return tuple(int(x) for x in pair.view(np.int64))
+        total = mix(np.array([mix(found, 1).sum(dtype=np.uint64) + np.uint64(len(found))], np.uint64), 2)
+    return int(total.view(np.int64)[0])
 
 
 def levels(n: int, join: Join) -> list[tuple[int, int]]:
     """Number and largest difference of each level that a set of ``n`` shingles is filed on."""
+    if n < join.least():
+        return []
     ends = join.bounds()
     j = int(np.searchsorted(ends, n))
     top = int(ends[j])
@@ -150,9 +174,13 @@ def file_keys(found: np.ndarray, join: Join) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, np.diff(group[by]) != 0])
         content = np.add.reduceat(mix(found[by], 2), first)
         which = group[by][first]
-        if groups - len(which) > slack:
+        spare = slack - (groups - len(which))
+        if spare < 0:
             empty = np.setdiff1d(np.arange(groups), which)
             which, content = np.r_[which, empty], np.r_[content, np.zeros(len(empty), np.uint64)]
+        elif spare > 1:
+            kept = np.sort(np.argsort(np.diff(np.r_[first, len(found)]), kind="stable")[spare // 2 :])
+            which, content = which[kept], content[kept]
         keys.append(mix(content + which.astype(np.uint64) * _ODD + np.array([level], np.uint64) * _SALTS[2], 0))
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
@@ -205,15 +233,16 @@ def unpacked_points(packed: list[bytes]) -> np.ndarray:
     return np.array([p.reshape(-1, axes).sum(axis=0) for p in points], np.int32)
 
 
-def forest(points: np.ndarray, sets: list[np.ndarray] | None, second: np.ndarray | None, join: Join) -> list[tuple[int, int]]:
+def forest(points: np.ndarray, sets: list[np.ndarray] | None, second: np.ndarray | None, joined: np.ndarray, join: Join) -> list[tuple[int, int]]:
     """Pairs that connect what is connected: by links between ``sets``, or, without sets, by what the bound leaves of the points.
 
-    With ``second``, only pairs of a member where it is false and one where it is true count.
+    Members with the same number in ``joined`` are connected already.  With ``second``, only pairs of a
+    member where it is false and one where it is true count.
     """
     if len(points) < 2:
         return []
     sizes = points.sum(axis=1, dtype=np.int64)
-    root = np.arange(len(points))
+    root = np.unique(joined, return_inverse=True)[1]
     inner = np.arange(len(points)) if second is None else np.flatnonzero(second)
     asking = range(len(points)) if second is None else np.flatnonzero(~second)
     if not len(inner):
@@ -239,35 +268,36 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
-        n, one, two = [], [], []
+        n, node = [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text, join.words)
-            a, b = signature(found)
             n.append(len(found))
-            one.append(a)
-            two.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["id", "text_hash", "n", "s1", "s2"])
+            node.append(signature(found))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["id", "text_hash", "n", "node"])
 
 
 def _filed(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[int, int]] = set()  # a set that a partition holds often is filed once
+    seen: set[int] = set()
     for batch in _parts(batches):
         keys, owners = [], []
-        for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text in batch.column(0).to_pylist():
             found = shingles(text, join.words)
-            sign = signature(found)
-            if len(found) and sign not in seen:
-                seen.add(sign)
+            node = signature(found)
+            if node not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
                 keys.append(file_keys(found, join))
-                owners.append(np.full(len(keys[-1]), owner, np.int64))
+                owners.append(np.full(len(keys[-1]), node, np.int64))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "node"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], join: Join) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
-        sets = [shingles(t, join.words) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed_point(s, join) for s in sets], pa.binary())], ["id", "grams", "point"])
+        sets = [shingles(t, join.words) for t in batch.column(0).to_pylist()]
+        arrays = [pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([packed_point(s, join) for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "grams", "point"])
 
 
 def stars(pairs: list[tuple[int, int]], names: list) -> list[tuple]:
@@ -288,50 +318,80 @@ def stars(pairs: list[tuple[int, int]], names: list) -> list[tuple]:
     return [(names[x], names[top(x)]) for x in list(root) if names[x] != names[top(x)]]
 
 
-def _candidates_of(rows: list[tuple], crossed: bool, join: Join) -> list[tuple[int, int]]:
-    ids, second, packed = zip(*rows)
-    found = forest(unpacked_points(list(packed)), None, np.array(second) if crossed else None, join)
-    return stars(found, ids)
+def _pairs_of(rows: list[tuple], column: str, crossed: bool, join: Join) -> list[tuple[int, int]]:
+    """Stars of the pairs that one unit gives: of points what the bound leaves, of sets the links."""
+    nodes, second, labels, data = zip(*rows)
+    if column == "point":
+        points, sets = unpacked_points(list(data)), None
+    else:
+        sets = [np.frombuffer(g, np.uint64) for g in data]
+        points = unpacked_points([packed_point(s, join) for s in sets])
+    return stars(forest(points, sets, np.array(second) if crossed else None, np.array(labels), join), nodes)
 
 
-def _links_of(rows: list[tuple], crossed: bool, join: Join) -> list[tuple[int, int, int, int]]:
-    distinct = dict(sorted({g: s for _, s, g in rows}.items()))
-    sets = [np.frombuffer(g, np.uint64) for g in distinct]
-    points = unpacked_points([packed_point(s, join) for s in sets])
-    signs = [signature(s) for s in sets]
-    found = forest(points, sets, np.array(list(distinct.values())) if crossed else None, join)
-    return [(*a, *b) for a, b in stars(found, signs)]
-
-
-def _by_unit(batches: Iterator[pa.RecordBatch], work, names: list[str], join: Join) -> Iterator[pa.RecordBatch]:
-    """``work`` on the rows of each unit; the rows of a unit follow each other."""
+def _by_unit(batches: Iterator[pa.RecordBatch], column: str, crossed: bool, join: Join) -> Iterator[pa.RecordBatch]:
+    """The pairs of each unit; the rows of a unit follow each other."""
     unit, rows = None, []
-
-    def made(out):
-        return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)] if out else []
-
-    for batch in batches:
-        out = []
-        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "block", "data")]
-        for key, i, j, owner, block, data in zip(*cols):
-            if (key, i, j) != unit:
-                if unit is not None:
-                    out += work(rows, unit[1] != unit[2], join)
-                unit, rows = (key, i, j), []
-            rows.append((owner, block == j, data))
-        yield from made(out)
-    if unit is not None:
-        yield from made(work(rows, unit[1] != unit[2], join))
-
-
-def units(members: DataFrame, data: DataFrame, column: str) -> DataFrame:
-    """Members (``key, id, m``) of buckets dealt to units with their data; a bucket of ``m`` has ceil(m / BLOCK) blocks."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = members.select("key", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    joined = rows.join(data.select(F.col("id").alias("_id"), F.col(column).alias("data")).hint("shuffle_merge"), F.col("id") == F.col("_id"))
-    return joined.select("key", "i", "j", "id", "block", "data").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    for whole in batches:
+        for batch in slices(whole, "data", SLICE):
+            out = []
+            for *at, node, second, label, data in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "second", "label", "data")]):
+                if at != unit:
+                    if unit is not None:
+                        out += _pairs_of(rows, column, crossed, join)
+                    unit, rows = at, []
+                rows.append((node, second, label, data))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+    if unit is not None and (out := _pairs_of(rows, column, crossed, join)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+
+def _worked(rows: DataFrame, data: DataFrame, column: str, crossed: bool, join: Join) -> DataFrame:
+    """Pairs of units, rows of ``key, i, j, node, second, label``, with the members' data."""
+    if crossed and rows.count() <= BROADCAST_ROWS:
+        data = data.join(F.broadcast(rows.select(F.col("node").alias("_wanted")).distinct()), F.col("node") == F.col("_wanted"), "left_semi")
+    joined = rows.join(data.select(F.col("node").alias("_node"), F.col(column).alias("data")).hint("shuffle_merge"), F.col("node") == F.col("_node"))
+    joined = joined.select("key", "i", "j", "node", "second", "label", "data").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second")
+    return joined.mapInArrow(lambda it: _by_unit(it, column, crossed, join), "a long, b long").distinct()
+
+
+def own_blocks(members: DataFrame) -> DataFrame:
+    """Members (``key, node, m, blocks``) dealt to their block; pivots are in all blocks."""
+    place = F.xxhash64("node", "key")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.shiftrightunsigned(place, 20), F.col("m")) < PIVOTS)
+    own = F.pmod(place, F.col("blocks"))
+    rows = members.select("key", "node", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))).alias("i"))
+    return rows.select("key", "i", F.lit(0).cast("long").alias("j"), "node", F.lit(False).alias("second"), F.col("node").alias("label"))
+
+
+def cross_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of large groups in which more than one component is left, those outside the largest against all."""
+    named = labels.select(F.col("node").alias("_node"), "component").hint("shuffle_merge")
+    rows = members.where("blocks > 1").join(named, F.col("node") == F.col("_node"), "left").select("key", "node", "m", "blocks", F.coalesce("component", "node").alias("label"))
+    rows = written(rows, "jaccard-large")
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"))
+    sizes = sizes.where("parts > 1").select(F.col("key").alias("_key"), F.col("top.label").alias("main"), (F.col("all") - F.col("top.c")).alias("rest"))
+    rows = rows.join(sizes.hint("shuffle_merge"), F.col("key") == F.col("_key"))
+    place = F.xxhash64("key", "node")
+    few = F.ceil(F.col("rest") * F.col("blocks") / F.col("m")).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    whole = rows.select("key", each(few).alias("i"), F.pmod(place, F.col("blocks")).alias("j"), "node", F.lit(True).alias("second"), "label")
+    rest = rows.where("label <> main").select("key", F.pmod(place, few).alias("i"), each(F.col("blocks")).alias("j"), "node", F.lit(False).alias("second"), "label")
+    return whole.unionByName(rest)
+
+
+def connected(members: DataFrame, data: DataFrame, column: str, join: Join) -> DataFrame:
+    """``node, component`` by the pairs inside groups; ``members`` (``key, node, m, blocks``) and ``data`` are written tables."""
+    pairs = written(_worked(own_blocks(members), data, column, False, join), "jaccard-pairs")
+    found = components(pairs)
+    if members.where("blocks > 1").limit(1).count():
+        rows = written(cross_blocks(members, found), "jaccard-cross")
+        if rows.limit(1).count():
+            more = written(_worked(rows, data, column, True, join), "jaccard-crossed")
+            if more.limit(1).count():
+                found = components(pairs.unionByName(more))
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -340,70 +400,78 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.min("b").alias("_least")).select(F.col("a").alias("node"), F.least("a", "_least").alias("component")), "jaccard-labels")
     while True:
         near = both.join(labels.hint("shuffle_merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
-        near = written(near, "jaccard-near")
-        jumped = labels.select(F.col("node").alias("_to"), F.col("component").alias("_jump"))
         new = labels.join(near.hint("shuffle_merge"), F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_mid"))
-        new = written(new, "jaccard-mid")
+        jumped = labels.select(F.col("node").alias("_to"), F.col("component").alias("_jump"))
         new = new.join(jumped.hint("shuffle_merge"), F.col("_mid") == F.col("_to"), "left")
         new = written(new.select("node", F.least("_mid", "_jump").alias("component"), "_old"), "jaccard-labels")
         changed = new.where("component <> _old").limit(1).count()
+        discard(labels)
         labels = new.select("node", "component")
+        labels._written_to = new._written_to
         if not changed:
+            discard(both)
             return labels
 
 
-def links_of(docs: DataFrame, join: Join) -> DataFrame:
-    """Spanning links between different sets, as signatures ``a1, a2, b1, b2``; ``docs`` has ``id`` and ``text``."""
-    rows = docs.mapInArrow(lambda it: _filed(it, join), "key long, id long")
+def links_of(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """``node, component`` of the sets that link to different ones; ``docs`` has ``id, text_hash, text``, ``classes`` ``node, id, text_hash`` of one row of each set."""
+    rows = docs.select("text").mapInArrow(lambda it: _filed(it, join), "key long, node long")
     same = W.partitionBy("key")
-    rows = rows.select("key", "id", F.min("id").over(same).alias("lo"), F.max("id").over(same).alias("hi"), F.count("*").over(same).alias("m"), F.expr("bit_xor(xxhash64(id)) OVER (PARTITION BY key)").alias("x"))
-    shared = written(rows.where("lo <> hi"), "jaccard-buckets")
-    chosen = written(shared.where("id = lo").groupBy("x", "m", "lo", "hi").agg(F.min("key").alias("key")).select(F.col("key").alias("_key")), "jaccard-chosen")
-    members = written(shared.join(chosen.hint("shuffle_merge"), F.col("key") == F.col("_key"), "left_semi").select("key", "id", "m"), "jaccard-members")
+    low, high = F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.xxhash64("node"), 32)
+    rows = rows.select("key", "node", F.min("node").over(same).alias("lo"), F.max("node").over(same).alias("hi"), F.count("*").over(same).alias("m"), F.sum(low).over(same).alias("x"), F.sum(high).over(same).alias("y"))
+    first = lambda c: F.when(F.col("node") == F.col("lo"), F.col(c)).alias(c)
+    shared = rows.where("lo <> hi").select("key", "node", "m", first("lo"), first("hi"), first("x"), first("y"))
+    shared = written(shared.dropDuplicates(["key", "node"]), "jaccard-buckets")
+    chosen = written(shared.where("lo IS NOT NULL").groupBy("x", "y", "m", "lo", "hi").agg(F.min("key").alias("_key")).select("_key"), "jaccard-chosen")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")
+    members = written(shared.join(chosen.hint("shuffle_merge"), F.col("key") == F.col("_key"), "left_semi").select("key", "node", "m", blocks), "jaccard-members")
     discard(shared, chosen)
-    wanted = members.select(F.col("id").alias("_id")).distinct()
-    data = docs.join(wanted.hint("shuffle_merge"), F.col("id") == F.col("_id"), "left_semi").mapInArrow(lambda it: _sets(it, join), "id long, grams binary, point binary")
-    data = written(data, "jaccard-sets")
-    pairs = written(units(members, data, "point").mapInArrow(lambda it: _by_unit(it, _candidates_of, ["a", "b"], join), "a long, b long").distinct(), "jaccard-pairs")
+    wanted = members.select(F.col("node").alias("_node")).distinct().hint("shuffle_merge")
+    wanted = classes.join(wanted, F.col("node") == F.col("_node"), "left_semi").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
+    data = docs.join(wanted.hint("shuffle_merge"), (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
+    data = written(data.select("text").mapInArrow(lambda it: _sets(it, join), "node long, n long, grams binary, point binary"), "jaccard-sets")
+    clusters = connected(members, data, "point", join)
     discard(members)
-    clusters = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("key"))
-    sizes = written(clusters.groupBy("key").agg(F.count("*").alias("m")).select(F.col("key").alias("_key"), "m"), "jaccard-sizes")
-    members = clusters.join(sizes.hint("shuffle_merge"), F.col("key") == F.col("_key")).select("key", "id", "m")
-    links = units(members, data, "grams").mapInArrow(lambda it: _by_unit(it, _links_of, ["a1", "a2", "b1", "b2"], join), "a1 long, a2 long, b1 long, b2 long")
-    links = written(links.distinct(), "jaccard-links")
-    discard(data, pairs, sizes)
-    return links
+    sized = clusters.join(data.select(F.col("node").alias("_node"), "n").hint("shuffle_merge"), F.col("node") == F.col("_node")).groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("_n"))
+    sized = sized.select(F.col("component").alias("key"), "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    members = written(clusters.join(sized.hint("shuffle_merge"), F.col("component") == F.col("key")).select("key", "node", "m", "blocks"), "jaccard-clusters")
+    discard(clusters)
+    found = connected(members, data, "grams", join)
+    discard(data, members)
+    return found
 
 
 def similar_groups(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_hash, n_shingles, class_id, component_id`` of every row; a class has equal sets, a component is connected by links."""
+    """``doc_id, text_hash, n_shingles, node, component, component_id`` of every row.
+
+    Rows with the same ``node`` have equal sets, a ``component`` is connected by links (both null without
+    shingles), and ``component_id`` is the smallest doc_id in it.
+    """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     hashed = rows.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = written(hashed.mapInArrow(lambda it: _signed(it, join), "id long, text_hash long, n long, s1 long, s2 long"), "jaccard-signed")
-    classes = written(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("class_id")), "jaccard-classes")
-    links = links_of(rows, join)
-    side = lambda s: classes.select(F.col("s1").alias(f"_{s}1"), F.col("s2").alias(f"_{s}2"), F.col("class_id").alias(s)).hint("shuffle_merge")
-    named = links.join(side("a"), (F.col("a1") == F.col("_a1")) & (F.col("a2") == F.col("_a2"))).select("a", "b1", "b2")
-    named = written(named, "jaccard-half").join(side("b"), (F.col("b1") == F.col("_b1")) & (F.col("b2") == F.col("_b2"))).select("a", "b")
-    found = components(named)
-    merged = classes.join(found.hint("shuffle_merge"), F.col("class_id") == F.col("node"), "left")
-    merged = written(merged.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "class_id", F.coalesce("component", "class_id").alias("component_id")), "jaccard-merged")
-    out = signed.join(merged.hint("shuffle_merge"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") > 0), "left")
+    signed = written(hashed.mapInArrow(lambda it: _signed(it, join), "id long, text_hash long, n long, node long"), "jaccard-signed")
+    classes = written(signed.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("_first")).select("node", "_first.*"), "jaccard-classes")
+    found = links_of(hashed, classes, join)
+    named = classes.join(found.select(F.col("node").alias("_node"), "component").hint("shuffle_merge"), F.col("node") == F.col("_node"))
+    named = named.groupBy("component").agg(F.min("id").alias("component_id")).select(F.col("component").alias("_component"), "component_id")
+    named = found.join(named.hint("shuffle_merge"), F.col("component") == F.col("_component")).select(F.col("node").alias("_node"), "component", "component_id")
+    merged = classes.join(named.hint("shuffle_merge"), F.col("node") == F.col("_node"), "left")
+    merged = written(merged.select(F.col("node").alias("_node"), F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "id").alias("component_id")), "jaccard-merged")
+    out = signed.join(merged.hint("shuffle_merge"), (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
     shown = lambda c: F.when(c != NO_ID, c)
-    return out.select(shown(F.col("id")).alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), shown(F.coalesce("class_id", "id")).alias("class_id"), shown(F.coalesce("component_id", "id")).alias("component_id"))
+    some = F.col("n") > 0
+    return out.select(shown(F.col("id")).alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), F.when(some, F.col("node")).alias("node"), "component", shown(F.when(some, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the row with the component's id.
+    """``docs`` with one row of each component: that with the smallest doc_id (none counts as the largest), of those the smallest text hash.
 
-    Of rows that share that id the one with the smallest text hash stays.  Rows without doc_id go where their
-    component has an id, and stay, one per text, where it has none.
+    Rows without shingles are components of their own; of rows that repeat in doc_id and text one stays.
     """
-    found = similar_groups(docs, join, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    own = W.partitionBy("_k", F.when(F.col("doc_id").isNull(), F.col("text_hash"))).orderBy("text_hash")
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias("_k")
-    kept = found.select("doc_id", "component_id", "text_hash", key("doc_id")).withColumn("_at", F.row_number().over(own)).where("_at = 1")
-    kept = written(kept.select("_k", F.col("text_hash").alias("_h")).distinct(), "jaccard-kept")
+    found = similar_groups(docs, join, doc_id, text).select(key("doc_id"), F.col("text_hash").alias("_h"), "component")
+    kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("_k", "_h")).alias("_first")).select("_first.*")
+    kept = written(kept.unionByName(found.where(F.col("component").isNull()).select("_k", "_h").distinct()), "jaccard-kept")
     rows = docs.select(key(doc_id), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.struct(*docs.columns).alias("_row"))
     rows = rows.join(kept.hint("shuffle_merge"), ["_k", "_h"], "left_semi")
     rows = rows.withColumn("_at", F.row_number().over(W.partitionBy("_k", "_h").orderBy("_k", "_h"))).where("_at = 1")
