@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,23 +21,14 @@ def _escaped(value: Column) -> Column:
 
 
 def _ascii(text: Column) -> Column:
-    def one(value: str) -> str:
-        return "".join(c if ord(c) < 128 else "".join(f"\\u{int.from_bytes(u, 'big'):04x}" for u in _units(c)) for c in value)
+    """Other characters than ASCII as ``\\uXXXX``, those beyond the first plane as two; expressions only."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", "\\\\u$1")
+    each = F.transform(F.split(text, ""), lambda c: F.when(F.octet_length(c) > 1, units(c)).otherwise(c))
+    return F.when(F.octet_length(text) > F.char_length(text), F.array_join(each, "")).otherwise(text)
 
-    @F.pandas_udf("string")
-    def escape(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else one(v))
 
-    return F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), escape(text)).otherwise(text)
-
-
-def _units(c: str) -> list[bytes]:
-    data = c.encode("utf-16-be", "surrogatepass")
-    return [data[i : i + 2] for i in range(0, len(data), 2)]
-
-
-def json_object(fields: dict[str, Column], ascii_only: bool = False) -> Column:
-    """The JSON text with sorted keys, ``", "`` and ``": "``; with ``ascii_only`` other characters are escaped (in Python; ASCII values never need it)."""
+def json_object(fields: dict[str, Column], ascii_only: bool = True) -> Column:
+    """The JSON text with sorted keys, ``", "`` and ``": "``; with ``ascii_only`` other characters are escaped."""
     parts: list[Column] = []
     for key in sorted(fields):
         value = fields[key]
@@ -47,7 +37,7 @@ def json_object(fields: dict[str, Column], ascii_only: bool = False) -> Column:
     return _ascii(text) if ascii_only else text
 
 
-def content_id(fields: dict[str, Column], ascii_only: bool = False) -> Column:
+def content_id(fields: dict[str, Column], ascii_only: bool = True) -> Column:
     return F.substring(F.sha2(json_object(fields, ascii_only), 256), 1, ID_DIGITS)
 
 
@@ -60,7 +50,7 @@ def document_node_id(document_id: Column) -> Column:
 
 
 def relation_node_id(verb: Column, target: Column, description: Column, document_id: Column) -> Column:
-    return content_id({"verb": verb, "target_category": target, "description": description, "document_id": document_id})
+    return content_id({"verb": verb, "target": target, "description": description, "doc": document_id})
 
 
 def mention_id(chunk_id: Column, surface_form: Column, entity_name: Column, entity_label: Column) -> Column:
@@ -69,7 +59,7 @@ def mention_id(chunk_id: Column, surface_form: Column, entity_name: Column, enti
 
 
 def chunk_id(document_id: Column, index: Column, text: Column) -> Column:
-    """The index is a number in the JSON text."""
+    """The index is a number in the JSON text, in which only these ids keep other characters as they are."""
     body = F.concat(F.lit('{"chunk_index": '), index.cast("string"), F.lit(', "chunk_text": "'), _escaped(text), F.lit('", "document_id": "'), _escaped(document_id.cast("string")), F.lit('"}'))
     return F.substring(F.sha2(body, 256), 1, ID_DIGITS)
 

@@ -86,7 +86,7 @@ def entity_nodes(fillers: DataFrame, aliases: DataFrame | None = None, embedding
         rows = rows.withColumn("_id", key).join(embeddings.select(F.col("id").alias("_id"), "embedding"), "_id", "left")
         vector = F.to_json("embedding")
     labels = F.array(F.lit("Entity"), X.sanitize_identifier(F.col("label"), "title"))
-    return _node(rows, key, "Entity", labels, _props(label=F.col("label"), name=F.col("name"), definition=F.col("d.definition"), confidence=F.col("d.confidence"), aliases=also, embedding=vector))
+    return _node(rows, key, "Entity", labels, _props(label_class=F.col("label"), name=F.col("name"), definition=F.col("d.definition"), confidence=F.col("d.confidence"), aliases=also, embedding=vector))
 
 
 def mention_nodes(mentions: DataFrame) -> DataFrame:

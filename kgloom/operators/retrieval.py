@@ -65,7 +65,7 @@ def similar_entities(queries: DataFrame, entities: DataFrame, top: int = 5) -> D
 def prompt_text(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """The context as one text: entities with definitions, then relations by verb with up to two examples."""
     p = F.col("properties")
-    e = entities.select(F.concat(F.lit("- "), p["label"], F.lit(": "), p["name"], F.lit(" - "), F.substring(F.coalesce(p["definition"], F.lit("")), 1, 120)).alias("line"))
+    e = entities.select(F.concat(F.lit("- "), p["label_class"], F.lit(": "), p["name"], F.lit(" - "), F.substring(F.coalesce(p["definition"], F.lit("")), 1, 120)).alias("line"))
     r = relations.groupBy(p["verb"].alias("verb")).agg(F.slice(F.array_sort(F.collect_set(F.substring(p["generic"], 1, 160))), 1, 2).alias("x"))
     r = r.select(F.concat(F.lit("- "), "verb", F.lit(": "), F.array_join("x", "; ")).alias("line"))
     both = e.select(F.lit(0).alias("part"), "line").unionByName(r.select(F.lit(1).alias("part"), "line"))

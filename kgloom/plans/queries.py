@@ -55,9 +55,14 @@ def py_title(spark, sf):
     return table(spark, sf, "documents").where(~F.contains(F.lower("text"), F.lit("ß"))).select("doc_id", X.title(F.col("text")).alias("titled"))
 
 
-@query(f"SELECT c_custkey, {id_sql(label=chr(39) + 'Customer' + chr(39), name='c_name')} AS entity_id FROM customer")
+#: Escapes of the accented letters that the query puts into names.
+ESCAPED = "replace(replace(replace(c_name, 'C', '\\u00c9'), 'u', '\\u65e5'), 'm', '\\ud83d\\ude00')"
+
+
+@query(f"SELECT c_custkey, {id_sql(label=chr(39) + 'Customer' + chr(39), name='c_name')} AS entity_id, {id_sql(label=chr(39) + 'Customer' + chr(39), name=ESCAPED)} AS accented_id FROM customer")
 def content_ids(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", ids.entity_id(F.lit("Customer"), F.col("c_name")).alias("entity_id"))
+    one = lambda name: ids.entity_id(F.lit("Customer"), name)
+    return table(spark, sf, "customer").select("c_custkey", one(F.col("c_name")).alias("entity_id"), one(F.translate("c_name", "Cum", "É日😀")).alias("accented_id"))
 
 
 @query(
@@ -232,10 +237,10 @@ def orphan_entities(spark, sf):
 @query(f"WITH {FILLERS} SELECT id, any_value(label) AS label, any_value(name) AS name FROM (SELECT {id_sql(label='label', name='name')} AS id, label, name FROM fil) GROUP BY 1")
 def graph_nodes_entities(spark, sf):
     nodes = graph.entity_nodes(D.order_fillers(D.order_relations(spark, sf)))
-    return nodes.select("id", F.col("properties")["label"].alias("label"), F.col("properties")["name"].alias("name"))
+    return nodes.select("id", F.col("properties")["label_class"].alias("label"), F.col("properties")["name"].alias("name"))
 
 
-REL_ID = id_sql(verb="verb", target_category="target_category", description="description", document_id="document_id")
+REL_ID = id_sql(verb="verb", target="target_category", description="description", doc="document_id")
 
 
 @query(f"WITH {FILLERS} SELECT {REL_ID} AS source_id, {id_sql(label='fil.label', name='fil.name')} AS target_id, upper(role) AS relation_type FROM rel JOIN fil USING (relation_id)")

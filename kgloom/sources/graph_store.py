@@ -90,7 +90,7 @@ def entity_scan(nodes: DataFrame, limit: int) -> DataFrame:
 
 def entity_catalogue(nodes: DataFrame, limit: int = 2000) -> DataFrame:
     """Distinct names, labels and definitions of entities."""
-    rows = nodes.where(F.col("kind") == "Entity").select(F.col("properties")["name"].alias("name"), F.col("properties")["label"].alias("label"), F.col("properties")["definition"].alias("definition"))
+    rows = nodes.where(F.col("kind") == "Entity").select(F.col("properties")["name"].alias("name"), F.col("properties")["label_class"].alias("label"), F.col("properties")["definition"].alias("definition"))
     return rows.distinct().orderBy("label", "name", "definition").limit(limit)
 
 

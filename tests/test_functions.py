@@ -42,8 +42,10 @@ def test_text_rules(spark, rule, expr):
 def test_ids(spark):
     values = ["a", 'q"uote', "back\\slash", "line\nfeed\ttab", "\x01\x1f", "é日😀", ""]
     want = lambda ascii_only: [hashlib.sha256(json.dumps({"label": "L", "name": v}, sort_keys=True, ensure_ascii=ascii_only).encode()).hexdigest()[:16] for v in values]
-    assert column(spark, values, lambda c: ids.content_id({"name": c, "label": F.lit("L")})) == want(False)
-    assert column(spark, values, lambda c: ids.content_id({"name": c, "label": F.lit("L")}, ascii_only=True)) == want(True)
+    assert column(spark, values, lambda c: ids.content_id({"name": c, "label": F.lit("L")})) == want(True)
+    assert column(spark, values, lambda c: ids.content_id({"name": c, "label": F.lit("L")}, ascii_only=False)) == want(False)
+    relation = [hashlib.sha256(json.dumps({"verb": v, "target": "t", "description": v, "doc": "d"}, sort_keys=True).encode()).hexdigest()[:16] for v in values]
+    assert column(spark, values, lambda c: ids.relation_node_id(c, F.lit("t"), c, F.lit("d"))) == relation
     chunk = [hashlib.sha256(json.dumps({"document_id": "d", "chunk_index": 3, "chunk_text": v}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16] for v in values]
     assert column(spark, values, lambda c: ids.chunk_id(F.lit("d"), F.lit(3), c)) == chunk
 
