@@ -11,6 +11,32 @@ AXES = ("ONTOLOGICAL", "DYNAMIC", "STRUCTURAL")
 KINDS = ("relation", "entity")
 MIN_QUOTE = 40
 
+#: Labels too general for an entity; a relation with one of them is refused.
+GENERIC_LABELS = (
+    "agent", "theme", "trigger", "purpose", "reason",
+    "instrument", "beneficiary", "context", "origin",
+    "destination", "co_agent", "location", "time",
+    "person", "organisation", "place", "object",
+    "concept", "event", "document", "information",
+    "data", "file",
+)
+
+#: What each role asks, for prompts.
+ROLE_QUESTIONS = {
+    "agent": "who or what does it",
+    "theme": "who or what is it done to, or about",
+    "trigger": "what set it off",
+    "purpose": "what is it meant to achieve",
+    "reason": "why did it come about",
+    "instrument": "by what means",
+    "beneficiary": "for whose good or ill",
+    "context": "under what circumstances",
+    "origin": "from where or whom",
+    "destination": "to where or whom",
+    "time": "when",
+    "location": "where",
+}
+
 
 @dataclass(frozen=True)
 class SeedType:
@@ -22,7 +48,7 @@ class SeedType:
 class SeedOntology:
     entity_types: tuple[SeedType, ...] = ()
     relation_types: tuple[SeedType, ...] = ()
-    alignment_threshold: float = 0.85
+    alignment_threshold: float = 0.80
 
 
 @dataclass(frozen=True)
@@ -40,7 +66,8 @@ class DomainConfig:
     name: str = "default"
     language: str = "en"
     seed: SeedOntology = field(default_factory=SeedOntology)
-    generic_labels: tuple[str, ...] = ("document", "thing", "entity", "object", "item", "element", "other", "unknown")
+    context: str = ""
+    generic_labels: tuple[str, ...] = GENERIC_LABELS
     rules: tuple[ValidationRule, ...] = ()
     chunk_tokens: int = 1024
     chunk_overlap: int = 128
@@ -58,5 +85,9 @@ class DomainConfig:
     max_relations: int = 20
     scanned_entities: int = 500
     neighbours: int = 10
+    prompt_types: int = 50
+    attempts: int = 3
     resolution_enabled: bool = True
+    arbitration_enabled: bool = True
     qc_enabled: bool = True
+    role_context_of_first_document: bool = False

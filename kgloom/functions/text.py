@@ -53,7 +53,7 @@ def norm_key(label: Column, name: Column) -> Column:
 def title(text: Column) -> Column:
     """Title case in which every run of letters begins with a capital, also behind digits and apostrophes."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.when(F.startswith(w, F.lit("ß")), F.lit("Ss")).otherwise(F.upper(F.substring(w, 1, 1))), F.substr(w, F.lit(2)))), "")
 
 
 def title_label(text: Column) -> Column:

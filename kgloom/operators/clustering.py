@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
@@ -12,19 +11,17 @@ import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgloom.functions import vectors as V
+from kgloom.sources.shared import written
 
 BLOCK_ROWS = 2048
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the session's checkpoint folder; a folder is made only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-checkpoint-"))
-    return df.checkpoint()
+def _kept(df: DataFrame) -> DataFrame:
+    return written(df, "clustering")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -60,11 +57,16 @@ def _scored(pairs: DataFrame, top: int, schema: str) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
-def neighbours(queries: DataFrame, items: DataFrame, top: int, key: str = "id") -> DataFrame:
+def neighbours(queries: DataFrame, items: DataFrame, top: int, key: str = "id", others: bool = False) -> DataFrame:
     """Each query's ``top`` items by cosine, ``id, match, score, rank``: all items for a stated set of queries, in blocks of matrix products.
 
-    A task holds two blocks; per query only ``top`` rows a block go through the shuffle.
+    A task holds two blocks; per query only ``top`` rows a block go through the shuffle.  With ``others``, an item is
+    no neighbour of the query that has its id.
     """
+    if others:
+        rows = neighbours(queries, items, top + 1, key).where("id <> match")
+        by = W.partitionBy("id").orderBy("rank")
+        return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     left = blocks(queries, key).select(F.col("vs").alias("left"))
     right = blocks(items, key).select(F.col("vs").alias("right"))
     rows = _scored(left.join(right), top, "id string, match string, score double")
@@ -113,13 +115,13 @@ def likely_pairs(vectors: DataFrame, least: float, key: str = "id", tables: int
 
 def connected(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of nodes with links ``a, b``; labels spread and jump until none changes."""
-    both = _checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    both = _kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("jump"))
-        new = _checkpointed(new.join(jump, F.col("mid") == F.col("to"), "left").select("node", F.least("mid", "jump").alias("component"), "old"))
+        new = _kept(new.join(jump, F.col("mid") == F.col("to"), "left").select("node", F.least("mid", "jump").alias("component"), "old"))
         labels = new.select("node", "component")
         if not new.where("component <> old").limit(1).count():
             return labels
@@ -189,15 +191,15 @@ class Density(ClusteringStrategy):
 
     def fit(self, vectors: DataFrame) -> DataFrame:
         rows = vectors.select(F.col("id").cast("string").alias("id"), "embedding")
-        pairs = _checkpointed(close_pairs(rows, 1 - self.distance).select("a", "b"))
+        pairs = _kept(close_pairs(rows, 1 - self.distance).select("a", "b"))
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        core = _checkpointed(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= self.least).select(F.col("a").alias("core")))
+        core = _kept(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= self.least).select(F.col("a").alias("core")))
         inner = pairs.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi")
         found = connected(inner).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
         alone = core.select(F.col("core").alias("id")).join(found, "id", "left_anti").withColumn("cluster", F.col("id"))
-        cores = _checkpointed(found.unionByName(alone))
+        cores = _kept(found.unionByName(alone))
         border = both.join(cores, F.col("b") == F.col("id")).select(F.col("a").alias("id"), "cluster").join(cores.select("id"), "id", "left_anti").groupBy("id").agg(F.min("cluster").alias("cluster"))
-        placed = _checkpointed(cores.unionByName(border))
+        placed = _kept(cores.unionByName(border))
         if self.drop_noise:
             return placed
         noise = rows.join(placed, "id", "left_anti")

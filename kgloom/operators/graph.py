@@ -30,8 +30,11 @@ def document_nodes(documents: DataFrame) -> DataFrame:
     return _node(documents, ids.document_node_id(key), "Document", F.array(F.lit("Document")), _props(document_id=key))
 
 
-def chunk_nodes(chunks: DataFrame) -> DataFrame:
+def chunk_nodes(chunks: DataFrame, embed=None) -> DataFrame:
+    """Chunks as nodes; ``embed``, which makes vectors of a text column, gives them an embedding."""
     cols = {c: F.col(c) for c in ("document_id", "chunk_index", "text", "start_char", "end_char", "token_count")}
+    if embed is not None:
+        chunks, cols["embedding"] = chunks.withColumn("_e", embed(F.col("text"))), F.to_json("_e")
     return _node(chunks, F.col("chunk_id"), "Chunk", F.array(F.lit("Chunk")), _props(**cols))
 
 
@@ -72,7 +75,7 @@ def role_edges(relations: DataFrame, fillers: DataFrame) -> DataFrame:
     return _edge(rows, relation_key(), ids.entity_id(F.col("_l"), F.col("_n")), F.upper("role"))
 
 
-def entity_nodes(fillers: DataFrame, aliases: DataFrame | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+def entity_nodes(fillers: DataFrame, aliases: DataFrame | None = None, embeddings: DataFrame | None = None, embed=None) -> DataFrame:
     """One node per (label, name): the last definition and confidence win; aliases and embedding where there are any."""
     order = F.struct("relation_id", "role_group", "pos")
     rows = fillers.groupBy("label", "name").agg(F.max_by(F.struct("definition", "confidence"), order).alias("d"))
@@ -82,6 +85,9 @@ def entity_nodes(fillers: DataFrame, aliases: DataFrame | None = None, embedding
         also = F.col("_aliases")
     vector = F.lit(None).cast("string")
     key = ids.entity_id(F.col("label"), F.col("name"))
+    if embed is not None:
+        rows = rows.withColumn("_e", embed(X.entity_class_text(F.col("label"), F.col("d.definition"))))
+        vector = F.to_json("_e")
     if embeddings is not None:
         rows = rows.withColumn("_id", key).join(embeddings.select(F.col("id").alias("_id"), "embedding"), "_id", "left")
         vector = F.to_json("embedding")
@@ -94,9 +100,13 @@ def mention_nodes(mentions: DataFrame) -> DataFrame:
     return _node(mentions, F.col("mention_id"), "Mention", F.array(F.lit("Mention")), _props(**cols))
 
 
-def mention_edges(mentions: DataFrame, relations: DataFrame, fillers: DataFrame) -> DataFrame:
-    """Chunk (else document) to mention, and mention to an entity that its document's relations have."""
-    where = mentions.join(relations.select("relation_id", "document_id"), "relation_id")
+def mention_edges(mentions: DataFrame, relations: DataFrame, fillers: DataFrame, everything: DataFrame | None = None) -> DataFrame:
+    """Chunk (else document) to mention, and mention to an entity that its document's relations have.
+
+    ``everything`` has the relations that mentions come from where those of the graph are fewer; mentions of
+    refused relations are kept, but refer to an entity only if another relation has it.
+    """
+    where = mentions.join((everything if everything is not None else relations).select("relation_id", "document_id"), "relation_id")
     holder = F.coalesce("chunk_id", ids.document_node_id(F.col("document_id")))
     held = _edge(where, holder, F.col("mention_id"), F.lit("HAS_MENTION"))
     there = relations.select("relation_id", "document_id").join(fillers.select("relation_id", "label", "name"), "relation_id").select(F.col("document_id").alias("_d"), F.col("label").alias("_l"), F.col("name").alias("_n")).distinct()
@@ -112,12 +122,12 @@ def document_mentions(mentions: DataFrame, chunks: DataFrame, documents: DataFra
     return by_chunk.unionByName(everywhere)
 
 
-def build(documents: DataFrame, chunks: DataFrame, relations: DataFrame, fillers: DataFrame, evidence: DataFrame, mentions: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build(documents: DataFrame, chunks: DataFrame, relations: DataFrame, fillers: DataFrame, evidence: DataFrame, mentions: DataFrame, aliases: DataFrame | None = None, embed=None, everything: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a batch as one plan; repeated nodes are settled by the sink."""
     nodes = document_nodes(documents)
-    for part in (chunk_nodes(chunks), relation_nodes(relations, evidence), entity_nodes(fillers, aliases), mention_nodes(mentions)):
+    for part in (chunk_nodes(chunks, embed), relation_nodes(relations, evidence), entity_nodes(fillers, aliases, embed=embed), mention_nodes(mentions)):
         nodes = nodes.unionByName(part)
     edges = chunk_edges(chunks)
-    for part in (extracted_edges(relations, evidence, chunks), role_edges(relations, fillers), mention_edges(mentions, relations, fillers)):
+    for part in (extracted_edges(relations, evidence, chunks), role_edges(relations, fillers), mention_edges(mentions, relations, fillers, everything)):
         edges = edges.unionByName(part)
     return nodes, edges

@@ -106,6 +106,16 @@ def evidence_chunks(evidence: DataFrame, relations: DataFrame, chunks: DataFrame
     return exact.select(*keys, "chunk_id", F.lit(True).alias("is_exact")).unionByName(best.select(*keys, "chunk_id", F.lit(False).alias("is_exact")))
 
 
+def of_documents(relations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Relations of the given documents."""
+    return relations.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+
+
+def with_document(relations: DataFrame, true_id: Column) -> DataFrame:
+    """Relations under the id of the document that they were found in, whatever they say themselves."""
+    return relations.withColumn("document_id", true_id.cast("string"))
+
+
 def relation_chunk(evidence: DataFrame) -> DataFrame:
     """The chunk of each relation's first piece of evidence."""
     return evidence.groupBy("relation_id").agg(F.min_by("chunk_id", "ev_pos").alias("chunk_id"))
@@ -126,7 +136,7 @@ def flagged_relevant(rows: DataFrame, flags: DataFrame, key: str) -> DataFrame:
 
 def compound(description: Column) -> Column:
     """Descriptions that join several statements."""
-    return F.regexp_like(F.lower(description), F.lit(r"\b(and|or|then|while|whereas|as well as)\b")) & (F.regexp_count(F.lower(description), F.lit(r"\b\w+(ed|es|ing)\b")) >= 2)
+    return F.regexp_like(F.lower(description), F.lit(r"(?U)\b(and|or|then|while|whereas|as well as)\b")) & (F.regexp_count(F.lower(description), F.lit(r"(?U)\b\w+(ed|es|ing)\b")) >= 2)
 
 
 def deduplicated(fillers: DataFrame) -> DataFrame:

@@ -95,6 +95,43 @@ def on_trail(types: DataFrame, label: str) -> DataFrame:
     return types.where((F.col("label") == label) | F.array_contains("trail", label))
 
 
+def merge_scan(weights: DataFrame, types: DataFrame, structural: float, semantic: float) -> DataFrame:
+    """Pairs of types ``a, b`` to merge: alike in what they relate, and in what their definitions say (``types`` has ``type, embedding``).
+
+    Structure leads: only pairs that share a motif are looked at; the definitions' cosine guards against
+    merging what is built alike but means something else.
+    """
+    side = lambda s: types.select(F.col("type").alias(s), F.col("embedding").alias(f"_{s}"))
+    pairs = similar_types(weights, structural).join(side("a"), "a").join(side("b"), "b")
+    return pairs.select("a", "b", "cosine", V.cosine(F.col("_a"), F.col("_b")).alias("meaning")).where(F.col("meaning") >= semantic)
+
+
+def specialised(types: DataFrame, splits: DataFrame) -> DataFrame:
+    """Split types (``label, child``): a child has its parent's trail and its own label behind it; the parent stays."""
+    new = types.join(splits, "label").select(F.col("child").alias("label"), F.array_append("trail", F.col("child")).alias("trail"))
+    return types.select("label", "trail").unionByName(new)
+
+
+def abstracted(types: DataFrame, merges: DataFrame) -> DataFrame:
+    """Merged types (``label, parent``): the more general label comes in front of their trails; each parent becomes a type."""
+    rows = types.join(merges, "label", "left").select("label", F.when(F.col("parent").isNull(), F.col("trail")).otherwise(F.array_prepend("trail", F.col("parent"))).alias("trail"))
+    new = merges.select(F.col("parent").alias("label")).distinct().join(types.select("label"), "label", "left_anti")
+    return rows.unionByName(new.select("label", F.array("label").alias("trail")))
+
+
+def disambiguated(types: DataFrame, children: DataFrame) -> DataFrame:
+    """A label that mixed two concepts (``label, child``) is retired; its children begin trails of their own."""
+    kept = types.select("label", "trail").join(children.select("label").distinct(), "label", "left_anti")
+    return kept.unionByName(children.select(F.col("child").alias("label"), F.array("child").alias("trail")))
+
+
+def unified(types: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Synonyms (``label, chosen``) are retired for one chosen label, without a hierarchy."""
+    kept = types.select("label", "trail").join(synonyms.select("label"), "label", "left_anti")
+    new = synonyms.select(F.col("chosen").alias("label")).distinct().join(kept.select("label"), "label", "left_anti")
+    return kept.unionByName(new.select("label", F.array("label").alias("trail")))
+
+
 def subtypes(relations: DataFrame, fillers: DataFrame, rules: DataFrame) -> DataFrame:
     """``relation_id, subtype`` by rules ``type, role, label, subtype``."""
     rows = fillers.select("relation_id", "role", F.col("label").alias("filler")).join(relations.select("relation_id", F.col("label").alias("type")), "relation_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import relations as R
@@ -53,7 +53,7 @@ def order_fillers(rel: DataFrame) -> DataFrame:
 
 
 RELATIONS = """
-rel AS (SELECT o_orderkey::VARCHAR AS relation_id, 'batch-' || (o_orderkey % 100)::VARCHAR AS document_id, 'Customer ' || c_name || ' placed order ' || o_orderkey::VARCHAR AS description,
+rel AS MATERIALIZED (SELECT o_orderkey::VARCHAR AS relation_id, 'batch-' || (o_orderkey % 100)::VARCHAR AS document_id, 'Customer ' || c_name || ' placed order ' || o_orderkey::VARCHAR AS description,
   (o_orderkey % 100)::DOUBLE / 100 AS confidence, 'DYNAMIC' AS axis, 'PLACED' AS verb, 'purchase order' AS target_category, 'a customer places an order' AS definition,
   o_orderkey, c_name, n_name, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
@@ -67,21 +67,47 @@ fil0 AS (
   UNION ALL SELECT relation_id, 3, 'context', 0, 'CUSTOMER', upper(c_name) FROM rel WHERE o_orderkey % 13 = 0
   UNION ALL SELECT relation_id, 5, 'time', 0, 'Date', day FROM rel
   UNION ALL SELECT relation_id, 5, 'location', 1, 'Nation', n_name FROM rel),
-fil AS (SELECT *, label || ' entity.' AS definition, 1.0::DOUBLE AS confidence FROM fil0)"""
+fil AS MATERIALIZED (SELECT *, label || ' entity.' AS definition, 1.0::DOUBLE AS confidence FROM fil0)"""
 )
 
 
+#: Words of a passage by which it is looked for in documents, and passages up to which their hashes are broadcast.
+SHINGLE, BROADCAST_PASSAGES = 8, 100_000
+
+
+def _runs(text: Column) -> Column:
+    words = F.split(text, r"(?U)\s+")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
+
+
+def contained_passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` of passages that documents have word for word: they meet on a run of the passage's words, behind its first, and the text is then looked at.
+
+    Passages of fewer words than a run and one more meet all documents, as a stated set.
+    """
+    long = F.size(F.split("quote", r"(?U)\s+")) > SHINGLE + 1
+    keys = marks.where(long).select("item_id", "quote", F.element_at(_runs(F.col("quote")), 2).alias("run"))
+    if marks.count() <= BROADCAST_PASSAGES:
+        keys = F.broadcast(keys)
+    runs = docs.select("doc_id", "text", F.explode(F.array_distinct(_runs(F.col("text")))).alias("run"))
+    found = runs.join(keys, "run").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    few = docs.join(F.broadcast(marks.where(~long)), F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    return found.unionByName(few).distinct()
+
+
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A quote per document: the benchmark passages a document contains, for others its neighbour's first words."""
-    docs, marks = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return docs.join(F.broadcast(marks.select("item_id", F.col("text").alias("quote"))), F.col("doc_id") % 40 == F.col("item_id") % 40).select(
-        F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("item_id").cast("string")).alias("relation_id"), F.lit(0).alias("ev_pos"), F.col("doc_id").cast("string").alias("document_id"), "quote", "text"
-    )
+    """The benchmark passages that a document contains, and for each document the first 60 characters of the next one."""
+    docs, marks = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    told = contained_passages(docs, marks).join(marks, "item_id").select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("relation_id"), "quote")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.concat((F.col("doc_id") - 1).cast("string"), F.lit("-next")).alias("relation_id"), F.substring("text", 1, 60).alias("quote"))
+    rows = told.unionByName(after).join(docs, "doc_id")
+    return rows.select("relation_id", F.lit(0).alias("ev_pos"), F.col("doc_id").cast("string").alias("document_id"), "quote", "text")
 
 
 EVIDENCE = """
-ev AS (SELECT doc_id::VARCHAR || '-' || item_id::VARCHAR AS relation_id, 0 AS ev_pos, doc_id::VARCHAR AS document_id, b.text AS quote, d.text AS text
-  FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40)"""
+ev AS (SELECT d.doc_id::VARCHAR || '-' || item_id::VARCHAR AS relation_id, 0 AS ev_pos, d.doc_id::VARCHAR AS document_id, b.text AS quote, d.text AS text
+    FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+  UNION ALL SELECT d.doc_id::VARCHAR || '-next', 0, d.doc_id::VARCHAR, n.text[1:60], d.text FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1)"""
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -87,15 +87,15 @@ def merged_groups(spark, sf):
 
 
 @query(
-    f"""WITH {VECTORS}, q AS (SELECT * FROM vec WHERE id::INT % 25 = 0), s AS (SELECT q.id, v.id AS match, 'L' || v.label AS label, {cosine_sql('q.embedding', 'v.embedding')} AS score FROM q, vec v WHERE v.id::INT % 25 <> 0),
+    f"""WITH {VECTORS}, q AS (SELECT * FROM vec WHERE id::INT % 20 = 0), s AS (SELECT q.id, v.id AS match, 'L' || v.label AS label, {cosine_sql('q.embedding', 'v.embedding')} AS score FROM q, vec v WHERE q.id <> v.id),
 t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS r FROM s), u AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id, match) AS n FROM t WHERE r <= 5)
 SELECT label, match, round(score, 6) AS score FROM u WHERE n = 1"""
 )
 def similar_entities(spark, sf):
     v = D.vectors(spark, sf)
-    mine = F.col("id").cast("int") % 25 == 0
-    known = v.where(~mine).select("id", "embedding", F.concat(F.lit("L"), F.col("label").cast("string")).alias("label"), F.lit("n").alias("name"), F.lit("d").alias("definition"))
-    return retrieval.similar_entities(v.where(mine), known).select("label", "match", F.round("score", 6).alias("score"))
+    mine = F.col("id").cast("int") % 20 == 0
+    known = v.select("id", "embedding", F.concat(F.lit("L"), F.col("label").cast("string")).alias("label"), F.lit("n").alias("name"), F.lit("d").alias("definition"))
+    return retrieval.similar_entities(v.where(mine), known, others=True).select("label", "match", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {VECTORS} SELECT id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS size, label FROM vec")
@@ -172,9 +172,9 @@ def sub_clusters(spark, sf):
     return out.select("id", "sub_cluster")
 
 
-@query("SELECT event_id, 'events' AS source, event_type AS kind FROM events WHERE user_id % 3 = 0")
+@query("SELECT event_id, 'events' AS source, event_type AS kind FROM events")
 def stamped_events(spark, sf):
-    rows = events.stamped(table(spark, sf, "events").where("user_id % 3 = 0"), {"source": F.lit("events"), "kind": F.col("event_type")})
+    rows = events.stamped(table(spark, sf, "events"), {"source": F.lit("events"), "kind": F.col("event_type")})
     return rows.select("event_id", F.col("metadata")["source"].alias("source"), F.col("metadata")["kind"].alias("kind"))
 
 
@@ -197,3 +197,98 @@ def window_counts(spark, sf):
 
     rows = counts(table(spark, sf, "events"), "ts", "event_type", "1 hour")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+RESOLVED = f"""{CANONICAL}, x AS (SELECT m.*, c.*, needs_arbitration AND canonical_name LIKE '%7' AS refused FROM m JOIN c ON norm_key = cluster)"""
+
+
+@query(
+    f"""WITH {RESOLVED} SELECT cluster AS "group", CASE WHEN any_value(refused) THEN NULL ELSE any_value(canonical_name) END AS canonical_name, count(*) AS mention_count,
+  CASE WHEN any_value(refused) THEN 'llm_rejected' WHEN any_value(needs_arbitration) THEN 'llm' ELSE 'exact' END AS method, CASE WHEN any_value(refused) THEN [] ELSE any_value(aliases) END AS aliases FROM x GROUP BY 1"""
+)
+def entity_resolution(spark, sf):
+    """All stages with an arbiter that refuses names ending in 7."""
+    from kgloom.config import DomainConfig
+
+    arbiter = lambda c: c.select("cluster", (~F.col("canonical_name").endswith("7")).alias("should_merge"), F.col("canonical_name").alias("name"), F.col("canonical_label").alias("label"), F.col("canonical_definition").alias("definition"))
+    report = resolution.resolve(_mentions(spark, sf), DomainConfig(), None, arbiter)[2]
+    return report.select("group", F.when(F.col("method") != "llm_rejected", F.col("canonical_name")).alias("canonical_name"), "mention_count", "method", "aliases")
+
+
+def _order_graph(spark, sf):
+    rel = D.order_relations(spark, sf)
+    fil = D.order_fillers(rel)
+    full = relations.described(relations.with_roles(rel, fil))
+    return graph.entity_nodes(fil).unionByName(graph.relation_nodes(full)), graph.role_edges(rel, fil)
+
+
+@query(
+    f"""WITH {FILLERS}, q AS (SELECT lower(string_agg(n_name, ' and ' ORDER BY n_name)) AS text FROM nation), s AS (SELECT DISTINCT {id_sql(label='label', name='name')} AS id, name FROM fil ORDER BY id LIMIT 500),
+e AS (SELECT id, name FROM s, q WHERE contains(text, lower(name)) ORDER BY id LIMIT 30)
+SELECT 'entity' AS part, id FROM e UNION ALL SELECT 'relation', id FROM (SELECT DISTINCT {id_sql(verb='verb', target='target_category', description='description', doc='document_id')} AS id FROM rel JOIN fil USING (relation_id) WHERE {id_sql(label='fil.label', name='fil.name')} IN (SELECT id FROM e) ORDER BY id LIMIT 20)"""
+)
+def context_retrieve(spark, sf):
+    """The whole retrieval for one text, by names, as no chunk is embedded."""
+    from kgloom.config import DomainConfig
+
+    text = " and ".join(r["n_name"] for r in table(spark, sf, "nation").select("n_name").orderBy("n_name").collect())
+    found = retrieval.retrieve(text, *_order_graph(spark, sf), DomainConfig())
+    return found[0].select(F.lit("entity").alias("part"), "id").unionByName(found[1].select(F.lit("relation").alias("part"), "id"))
+
+
+@query("SELECT c_custkey, round(jaro_winkler_similarity(lower(c_mktsegment), lower(n_name)), 6) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def name_similarity(spark, sf):
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("c_custkey", F.round(resolution.jaro_winkler(F.lower("c_mktsegment"), F.lower("n_name")), 6).alias("score"))
+
+
+@query(
+    f"""WITH {VECTORS}, i AS (SELECT id, embedding, 'word' || (id::INT % 50) || ' name' || (id::INT % 7) AS name, label FROM vec), q AS (SELECT * FROM i WHERE id::INT % 20 = 0),
+s AS (SELECT q.id AS left_id, i.id AS right_id, {cosine_sql('q.embedding', 'i.embedding')} AS c, q.name AS a, i.name AS b, q.label AS x, i.label AS y FROM q, i), r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS n FROM s),
+p AS (SELECT *, 0.6 * c + 0.3 * jaro_winkler_similarity(a, b) + 0.1 * (1 - levenshtein(a, b) / greatest(length(a), length(b), 1)) AS score FROM r WHERE (n <= 10 OR len(list_intersect(string_split(a, ' '), string_split(b, ' '))) >= 2) AND x = y),
+t AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank, max(score) OVER (PARTITION BY left_id) AS best FROM p)
+SELECT left_id, right_id, round(score, 6) AS score, rank::INT AS rank FROM t WHERE score >= 0.8 OR best < 0.8 AND rank <= 3"""
+)
+def hybrid_recall(spark, sf):
+    """Vectors and words recall, names and vectors rank, labels have to agree."""
+    k = F.col("id").cast("int")
+    items = D.vectors(spark, sf).withColumn("name", F.concat(F.lit("word"), (k % 50).cast("string"), F.lit(" name"), (k % 7).cast("string")))
+    asked = items.where(k % 20 == 0)
+    out = resolution.ranked(resolution.recalled(asked, items, 10, 2), asked, items, {"vector": 0.6, "jaro_winkler": 0.3, "edits": 0.1}, 0.8, 3, ["label"])
+    return out.select("left_id", "right_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""WITH {FILLERS}, ty AS (SELECT relation_id, 'T' || (o_orderkey % 5)::VARCHAR AS type FROM rel), mo AS (SELECT type, role || '>' || label AS motif, count(*) AS n FROM fil JOIN ty USING (relation_id) GROUP BY 1, 2),
+w AS (SELECT type, motif, n / sum(n) OVER (PARTITION BY type) * ln(1 + (SELECT count(DISTINCT type) FROM mo) / count(*) OVER (PARTITION BY motif)) AS weight FROM mo),
+z AS (SELECT type, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY 1), e AS (SELECT 'T' || vec_id AS type, embedding FROM embeddings WHERE vec_id < 5),
+c AS (SELECT a.type AS a, b.type AS b, sum(a.weight * b.weight) / (any_value(x.norm) * any_value(y.norm)) AS cosine FROM w a JOIN w b ON a.motif = b.motif AND a.type < b.type JOIN z x ON x.type = a.type JOIN z y ON y.type = b.type GROUP BY 1, 2)
+SELECT a, b, round(cosine, 6) AS cosine, round({cosine_sql('u.embedding', 'v.embedding')}, 6) AS meaning FROM c JOIN e u ON u.type = a JOIN e v ON v.type = b WHERE cosine >= 0.5 AND {cosine_sql('u.embedding', 'v.embedding')} >= 0.0"""
+)
+def merge_scan(spark, sf):
+    rel = D.order_relations(spark, sf)
+    typed = rel.select("relation_id", F.concat(F.lit("T"), (F.col("o_orderkey") % 5).cast("string")).alias("label"))
+    weights = scans.motif_weights(scans.motifs(D.order_fillers(rel), typed))
+    types = table(spark, sf, "embeddings").where("vec_id < 5").select(F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("type"), "embedding")
+    out = scans.merge_scan(weights, types, 0.5, 0.0)
+    return out.select("a", "b", F.round("cosine", 6).alias("cosine"), F.round("meaning", 6).alias("meaning"))
+
+
+@query(f"WITH {FILLERS}, n AS (SELECT count(DISTINCT (label, name)) AS n FROM fil), e AS (SELECT count(DISTINCT (relation_id, label, name, role)) AS n FROM fil) SELECT n.n + (SELECT count(DISTINCT relation_id) FROM fil) AS nodes_given, n.n + (SELECT count(DISTINCT relation_id) FROM fil) AS nodes_held, e.n AS edges_given, e.n AS edges_held FROM n, e")
+def upload_check(spark, sf):
+    """An export into a fresh graph, counted."""
+    from kgloom.sources.shared import fresh_path
+
+    graph_of = store.ParquetGraph(spark, fresh_path(spark, "graph"))
+    nodes, edges = _order_graph(spark, sf)
+    graph_of.export(nodes, edges)
+    return graph_of.uploaded(nodes, edges)
+
+
+@query()
+def vector_index_search(spark, sf):
+    from kgloom.operators import vector_index
+
+    v = D.vectors(spark, sf)
+    found = vector_index.search(v.where(F.col("id").cast("int") % 20 == 0), vector_index.index(v), 10, probes=24)
+    return found.withColumn("score", F.round("score", 6))

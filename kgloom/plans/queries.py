@@ -49,10 +49,10 @@ def normalise_key(spark, sf):
 
 
 @query(
-    """SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '(\\p{L}+|[^\\p{L}]+)'), lambda w: upper(w[1]) || w[2:]), '') AS titled FROM documents WHERE NOT contains(lower(text), 'ß')"""
+    """SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '(\\p{L}+|[^\\p{L}]+)'), lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || w[2:]), '') AS titled FROM documents"""
 )
 def py_title(spark, sf):
-    return table(spark, sf, "documents").where(~F.contains(F.lower("text"), F.lit("ß"))).select("doc_id", X.title(F.col("text")).alias("titled"))
+    return table(spark, sf, "documents").select("doc_id", X.title(F.col("text")).alias("titled"))
 
 
 #: Escapes of the accented letters that the query puts into names.
@@ -130,9 +130,12 @@ def relevant_flags(spark, sf):
     return relations.flagged_relevant(table(spark, sf, "documents"), flags, "doc_id").select("doc_id", "source")
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '\\b(and|or|then|while|whereas|as well as)\\b') AND len(regexp_extract_all(lower(text), '\\b[a-z0-9_]+(ed|es|ing)\\b')) >= 2 AS is_compound FROM documents WHERE lang = 'en'")
+@query(
+    """SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(and|or|then|while|whereas|as well as)([^\\p{L}\\p{N}_]|$)')
+  AND len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '.+(ed|es|ing)'))) >= 2 AS is_compound FROM documents"""
+)
 def compound_relations(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", relations.compound(F.col("text")).alias("is_compound"))
+    return table(spark, sf, "documents").select("doc_id", relations.compound(F.col("text")).alias("is_compound"))
 
 
 # --- chunks and evidence
@@ -187,8 +190,8 @@ def evidence_to_chunk(spark, sf):
 
 EMPTY = "told AS (SELECT relation_id, CASE WHEN o_orderkey % 19 = 0 THEN '  ' ELSE description END AS quote FROM rel)"
 VIOLATIONS = f"""{FILLERS}, {EMPTY},
-v AS (
-  SELECT 'has_agent_and_theme' AS rule_name, 'error' AS severity, 'no theme' AS message, relation_id AS subject_id FROM rel WHERE relation_id NOT IN (SELECT relation_id FROM fil WHERE role = 'theme')
+v AS MATERIALIZED (
+  SELECT 'has_agent_and_theme' AS rule_name, 'error' AS severity, 'no theme' AS message, relation_id AS subject_id FROM rel ANTI JOIN (SELECT relation_id FROM fil WHERE role = 'theme') USING (relation_id)
   UNION ALL SELECT 'source_non_empty', 'warning', 'no evidence text', relation_id FROM told WHERE trim(quote) = ''
   UNION ALL SELECT 'low_confidence', 'warning', 'confidence ' || printf('%.2f', confidence), relation_id FROM rel WHERE confidence < 0.3
   UNION ALL SELECT 'duplicate_entity_in_relation', 'warning', lower(label) || ' ' || lower(name), relation_id FROM (SELECT *, row_number() OVER (PARTITION BY relation_id, lower(label), lower(name) ORDER BY role_group, pos, role) AS r FROM fil) WHERE r > 1
@@ -214,7 +217,7 @@ def violations(spark, sf):
     return _violations(spark, sf)[1]
 
 
-@query(f"WITH {VIOLATIONS} SELECT relation_id FROM rel WHERE relation_id NOT IN (SELECT subject_id FROM v WHERE severity = 'error')")
+@query(f"WITH {VIOLATIONS} SELECT relation_id FROM rel ANTI JOIN (SELECT subject_id AS relation_id FROM v WHERE severity = 'error') USING (relation_id)")
 def valid_relations(spark, sf):
     rel, found = _violations(spark, sf)
     return validation.valid(rel, found).select("relation_id")
@@ -225,9 +228,11 @@ def violation_counts(spark, sf):
     return validation.counts(_violations(spark, sf)[1])
 
 
-@query("SELECT 'no_orphan_entities' AS rule_name, 'warning' AS severity, 'no relation' AS message, 'entity' AS subject_type, 'Customer ' || c_name AS subject_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT 'no_orphan_entities' AS rule_name, 'warning' AS severity, 'no relation' AS message, 'entity' AS subject_type, 'Customer ' || c_name AS subject_id FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders) USING (c_custkey)
+UNION ALL SELECT 'no_orphan_entities', 'warning', 'no relation', 'entity', 'Supplier ' || s_name FROM supplier""")
 def orphan_entities(spark, sf):
     entities = table(spark, sf, "customer").select(F.lit("Customer").alias("label"), F.col("c_name").alias("name"))
+    entities = entities.unionByName(table(spark, sf, "supplier").select(F.lit("Supplier").alias("label"), F.col("s_name").alias("name")))
     return validation.orphan_entities(entities, D.order_fillers(D.order_relations(spark, sf)))
 
 
@@ -391,7 +396,7 @@ def phantom_anchors(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS attribute FROM customer WHERE c_custkey <= 3000), b AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS attribute FROM supplier)
+    """WITH a AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS attribute FROM customer), b AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS attribute FROM supplier)
 SELECT a.id AS left_id, b.id AS right_id, round(0.8 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name), 1)) + 0.2 * (a.attribute = b.attribute)::INT, 6) AS score
 FROM a JOIN b ON right(a.name, 4) = right(b.name, 4) WHERE 0.8 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name), 1)) + 0.2 * (a.attribute = b.attribute)::INT >= 0.5"""
 )
@@ -415,13 +420,13 @@ def cosine_topk(spark, sf):
 
 
 @query(
-    f"""WITH {VECTORS}, q AS (SELECT * FROM vec WHERE id::INT % 20 = 0), s AS (SELECT q.id, v.id AS match, {cosine_sql('q.embedding', 'v.embedding')} AS score FROM q, vec v WHERE v.id::INT % 20 <> 0),
+    f"""WITH {VECTORS}, q AS (SELECT * FROM vec WHERE id::INT % 20 = 0), s AS (SELECT q.id, v.id AS match, {cosine_sql('q.embedding', 'v.embedding')} AS score FROM q, vec v WHERE q.id <> v.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS rank FROM s) SELECT match, round(max(score), 6) AS score FROM r WHERE rank <= 5 GROUP BY 1 ORDER BY max(score) DESC, match LIMIT 5"""
 )
 def best_score_per_target(spark, sf):
     v = D.vectors(spark, sf)
     mine = F.col("id").cast("int") % 20 == 0
-    return retrieval.best_chunks(clustering.neighbours(v.where(mine), v.where(~mine), 5)).withColumn("score", F.round("score", 6))
+    return retrieval.best_chunks(clustering.neighbours(v.where(mine), v, 5, others=True)).withColumn("score", F.round("score", 6))
 
 
 CENTRES = "cen AS (SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM vec) GROUP BY 1, 2) GROUP BY 1)"
@@ -439,12 +444,12 @@ def centroid_assign(spark, sf):
 
 
 @query(
-    f"""WITH {VECTORS}, t AS (SELECT * FROM vec WHERE label < 5), x AS (SELECT * FROM vec WHERE label >= 5), s AS (SELECT x.id, max({cosine_sql('x.embedding', 't.embedding')}) AS b FROM x, t GROUP BY 1)
+    f"""WITH {VECTORS}, t AS (SELECT * FROM vec WHERE id::INT % 20 = 0), x AS (SELECT * FROM vec), s AS (SELECT x.id, max({cosine_sql('x.embedding', 't.embedding')}) AS b FROM x, t GROUP BY 1)
 SELECT count(*) AS n_relations, (SELECT count(*) FROM t) AS n_types, round(greatest(0.0, 1 - avg(b)), 6) AS drift, count(*) >= 10 AND 1 - avg(b) >= 0.25 AS is_drifted FROM s"""
 )
 def drift_score(spark, sf):
     v = D.vectors(spark, sf)
-    out = ontology.drift(v.where("label >= 5"), v.where("label < 5"))
+    out = ontology.drift(v, v.where(F.col("id").cast("int") % 20 == 0))
     return out.select("n_relations", "n_types", F.round("drift", 6).alias("drift"), ontology.drifted(out).alias("is_drifted"))
 
 
@@ -504,12 +509,11 @@ def candidates_new_types(spark, sf):
 
 
 @query(
-    f"""WITH {VECTORS}, s AS (SELECT a.id, max({cosine_sql('a.embedding', 'b.embedding')}) AS b FROM vec a, vec b WHERE a.id::INT % 2 = 0 AND b.id::INT % 2 = 1 GROUP BY 1) SELECT id, round(b, 6) AS best_score, b >= 0.35 AS is_merged FROM s"""
+    f"""WITH {VECTORS}, s AS (SELECT a.id, max({cosine_sql('a.embedding', 'b.embedding')}) AS b FROM vec a, vec b WHERE b.id::INT % 20 = 0 GROUP BY 1) SELECT id, round(b, 6) AS best_score, b >= 0.35 AS is_merged FROM s"""
 )
 def candidates_auto_merged(spark, sf):
     v = D.vectors(spark, sf)
-    odd = F.col("id").cast("int") % 2 == 1
-    out = ontology.split_by_similarity(v.where(~odd), v.where(odd), 0.35)
+    out = ontology.split_by_similarity(v, v.where(F.col("id").cast("int") % 20 == 0), 0.35)
     return out.select("id", F.round("best_score", 6).alias("best_score"), "is_merged")
 
 
@@ -546,12 +550,12 @@ def ontology_versioning(spark, sf):
 
 
 @query(
-    """SELECT d.doc_id::VARCHAR AS document_id, n_nationkey::VARCHAR AS id, n_name AS name FROM (SELECT doc_id, text || ' ' || n.n_name || '. ' AS text FROM documents JOIN nation n ON doc_id % 30 = n.n_nationkey) d, nation
+    """SELECT d.doc_id::VARCHAR AS document_id, n_nationkey::VARCHAR AS id, n_name AS name FROM (SELECT doc_id, coalesce(text, '') || ' ' || coalesce(n.n_name, '') || '. ' AS text FROM documents LEFT JOIN nation n ON doc_id % 30 = n.n_nationkey) d, nation
 WHERE contains(lower(d.text), lower(n_name)) AND contains(' ' || array_to_string(regexp_split_to_array(lower(d.text), '[^\\p{L}\\p{N}]+'), ' ') || ' ', ' ' || array_to_string(regexp_split_to_array(lower(n_name), '[^\\p{L}\\p{N}]+'), ' ') || ' ')"""
 )
 def context_substring(spark, sf):
     n = table(spark, sf, "nation")
-    docs = table(spark, sf, "documents").join(F.broadcast(n), F.col("doc_id") % 30 == F.col("n_nationkey")).select(F.col("doc_id").cast("string").alias("document_id"), F.concat("text", F.lit(" "), "n_name", F.lit(". ")).alias("text"))
+    docs = table(spark, sf, "documents").join(F.broadcast(n), F.col("doc_id") % 30 == F.col("n_nationkey"), "left").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("n_name", F.lit("")), F.lit(". ")).alias("text"))
     return retrieval.contained_names(docs, n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")), limit=None)
 
 
@@ -675,16 +679,31 @@ def anaphor_counts(spark, sf):
     return scans.anaphor_names(words)
 
 
-@query()
+@query("SELECT upper(event_type) AS relation_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def incremental_ingest(spark, sf):
     from kgloom.streaming.ingest import ingest_events
 
     return ingest_events(spark, sf)
 
 
-@query()
+#: What validation lets through, and which mentions and entities there are, of documents of 50 orders (one chunk each).
+PIPELINE = f"""{FILLERS}, d AS MATERIALIZED (SELECT relation_id, 'orders-' || (o_orderkey // 50)::VARCHAR AS document_id, o_orderkey % 17 <> 0 AND o_orderkey % 11 <> 0 AS is_valid FROM rel),
+f AS MATERIALIZED (SELECT document_id, is_valid, relation_id, role, name AS surface, CASE WHEN label = 'CUSTOMER' THEN 'Customer' ELSE label END AS label, CASE WHEN label = 'CUSTOMER' THEN c_name ELSE name END AS name
+  FROM fil JOIN d USING (relation_id) JOIN (SELECT relation_id, c_name FROM rel) USING (relation_id)),
+m AS MATERIALIZED (SELECT document_id, surface, label, name FROM f GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {PIPELINE}
+SELECT 'edge' AS part, upper(role) AS kind, count(*) AS n FROM f WHERE is_valid GROUP BY 2
+UNION ALL SELECT 'edge', 'HAS_CHUNK', count(DISTINCT document_id) FROM d UNION ALL SELECT 'edge', 'EXTRACTED_FROM', count(*) FROM d WHERE is_valid
+UNION ALL SELECT 'edge', 'HAS_MENTION', count(*) FROM m UNION ALL SELECT 'edge', 'REFERS_TO', count(*) FROM m SEMI JOIN (SELECT document_id, label, name FROM f WHERE is_valid) USING (document_id, label, name)
+UNION ALL SELECT 'node', 'Document', count(DISTINCT document_id) FROM d UNION ALL SELECT 'node', 'Chunk', count(DISTINCT document_id) FROM d
+UNION ALL SELECT 'node', 'Relation', count(*) FROM d WHERE is_valid UNION ALL SELECT 'node', 'Entity', count(DISTINCT (label, name)) FROM f WHERE is_valid UNION ALL SELECT 'node', 'Mention', count(*) FROM m"""
+)
 def graph_pipeline(spark, sf):
-    from kgloom.plans.pipeline import order_batch, run_full
+    from kgloom.plans.pipeline import Steps, order_batch, run_full
 
-    result = run_full(CONFIG, *order_batch(spark, sf))
-    return result.edges.groupBy("relation_type").agg(F.count("*").alias("n"))
+    result = run_full(CONFIG, *order_batch(spark, sf), steps=Steps(embed=None))
+    nodes = result.nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n")
+    return result.edges.groupBy(F.col("relation_type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "kind", "n").unionByName(nodes)
