@@ -12,7 +12,12 @@ mit G permission is hereby granted free of charge to any person obtaining a copy
 mit G the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit G the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
 mit G in no event shall the authors or copyright holders be liable for any claim damages or other liability
-mit G (?:licensed|distributed|available|published|provided|covered) under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
+mit G licensed under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
+mit G distributed under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
+mit G available under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
+mit G published under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
+mit G provided under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
+mit G covered under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
 mit G released under (?:the )?(?:terms of )?(?:the )?(?:mit|expat)(?: x11| expat)?(?: ~)?
 mit N (?:the )?mit x11 ~
 mit N (?:the )?mit expat ~
@@ -37,15 +42,23 @@ apache-2.0 G (?:http|https) www apache org licenses ~ 2 0
 apache-2.0 G apache org licenses ~ 2 0
 apache-2.0 G unless required by applicable law or agreed to in writing software distributed under the ~ is distributed on an as is basis
 apache-2.0 G without warranties or conditions of any kind either express or implied see the ~ for the specific language governing permissions
-apache-2.0 G (?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?(?: version)? (?:v ?)?2(?: 0)?
+apache-2.0 G licensed under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?(?: version)? (?:v ?)?2(?: 0)?
+apache-2.0 G released under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?(?: version)? (?:v ?)?2(?: 0)?
+apache-2.0 G distributed under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?(?: version)? (?:v ?)?2(?: 0)?
+apache-2.0 G available under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?(?: version)? (?:v ?)?2(?: 0)?
+apache-2.0 G published under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?(?: version)? (?:v ?)?2(?: 0)?
+apache-2.0 G provided under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?(?: version)? (?:v ?)?2(?: 0)?
 apache-2.0 N apache (?:software )?~s? (?:version )?(?:v ?)?2(?: 0)?
 apache-2.0 N apache 2(?: 0)? ~
 apache-2.0 N apache v2(?: 0)?(?: ~)?
 apache-2.0 N apache ~ 2(?: 0)?
-apache-2.0 N asl 2 0
 apache-2.0 N ~ apache 2(?: 0)?
 apache-2.0 O terms and conditions for use reproduction and distribution
-apache G (?:licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?
+apache G licensed under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?
+apache G distributed under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?
+apache G available under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?
+apache G published under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?
+apache G provided under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?
 apache G released under (?:the )?(?:terms of )?(?:the )?apache(?: software)?(?: ~)?
 apache N (?:the )?apache (?:software )?~s?
 apache N apache licensed
@@ -75,7 +88,11 @@ gpl-3.0 N gnu gpl (?:version )?(?:v ?)?3(?: 0)?
 gpl-3.0 O gnu org licenses gpl 3 0
 gpl G you can redistribute it and or modify it under the terms of the gnu general public ~
 gpl G you should have received a copy of the gnu general public ~
-gpl G (?:licensed|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl
+gpl G licensed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl
+gpl G distributed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl
+gpl G available under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl
+gpl G published under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl
+gpl G provided under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl
 gpl G released under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl
 gpl G licensed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?general public ~
 gpl N (?:gnu )?general public ~
@@ -99,7 +116,12 @@ lgpl-3.0 N (?:gnu )?lesser general public ~ (?:version )?(?:v ?)?3(?: 0)?
 lgpl-3.0 N lgpl (?:version )?(?:v ?)?3(?: 0)?
 lgpl-3.0 N lgplv3
 lgpl G you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public ~
-lgpl G (?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
+lgpl G licensed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
+lgpl G released under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
+lgpl G distributed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
+lgpl G available under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
+lgpl G published under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
+lgpl G provided under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl
 lgpl N (?:gnu )?lesser general public ~
 lgpl N (?:gnu )?library general public ~
 lgpl N (?:gnu )?lgpl ~
@@ -111,7 +133,12 @@ agpl-3.0 N agpl (?:version )?(?:v ?)?3(?: 0)?
 agpl-3.0 N agplv3
 agpl-1.0 N affero general public ~ (?:version )?(?:v ?)?1(?: 0)?
 agpl G you can redistribute it and or modify it under the terms of the gnu affero general public ~
-agpl G (?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
+agpl G licensed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
+agpl G released under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
+agpl G distributed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
+agpl G available under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
+agpl G published under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
+agpl G provided under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl
 agpl N (?:gnu )?affero general public ~
 agpl N (?:gnu )?agpl ~
 gfdl T spdx ~ identifier gfdl 1 [123](?: only| or later)?
@@ -143,7 +170,12 @@ bsd-4-clause G all advertising materials mentioning features or use of this soft
 bsd G redistribution and use in source and binary forms with or without modification are permitted
 bsd G redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 bsd G redistributions in binary form must reproduce the above copyright notice
-bsd G (?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?(?:a )?bsd(?: style)?(?: ~)?
+bsd G licensed under (?:the )?(?:terms of )?(?:the )?(?:a )?bsd(?: style)?(?: ~)?
+bsd G released under (?:the )?(?:terms of )?(?:the )?(?:a )?bsd(?: style)?(?: ~)?
+bsd G distributed under (?:the )?(?:terms of )?(?:the )?(?:a )?bsd(?: style)?(?: ~)?
+bsd G available under (?:the )?(?:terms of )?(?:the )?(?:a )?bsd(?: style)?(?: ~)?
+bsd G published under (?:the )?(?:terms of )?(?:the )?(?:a )?bsd(?: style)?(?: ~)?
+bsd G provided under (?:the )?(?:terms of )?(?:the )?(?:a )?bsd(?: style)?(?: ~)?
 bsd N (?:the )?bsd ~s?
 bsd N bsd licensed
 bsd N berkeley software distribution(?: ~)?
