@@ -10,7 +10,9 @@ loading), so merges never cross the start of a run of spaces and each distinct w
 per batch.
 
 Cases: null text and empty text encode to the end id alone and decode to ``""``; characters outside
-the vocabulary become their UTF-8 byte pieces; a null id list decodes to ``""``.
+the vocabulary become their UTF-8 byte pieces; a null id list decodes to ``""``; texts of any length are
+encoded whole; rows that repeat get the same ids; columns that have the names of the new ones are replaced; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from kgloom.llm.arrow_batches import with_columns
 SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
 LONG_WORD = 48
+#: Texts that a model must leave as they are, apart from marking spaces: compatibility forms, marks, controls, runs of white space.
+PROBES = ("ﬁ Ａ ½ e\u0301 é\xa0x\u200b", "  a  \t\n b ", "\x00\x7f\r\u3000①İß")
 #: Characters of text encoded together, and words remembered by a worker; both bound memory only.
 CHUNK_CHARS = 1_000_000
 MEMO_WORDS = 150_000
@@ -44,6 +48,8 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if any(sp.normalize(x) != SPACE + x.replace(" ", SPACE) for x in PROBES):
+            raise ValueError("the model normalises texts")
         size = sp.get_piece_size()
         pieces = [sp.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]

@@ -11,7 +11,10 @@ always responses.
 
 Cases: null html is an empty payload; a null url has no target URI of its own; rows that repeat the
 smallest page_id are responses each; a null page_id comes last in the order, so such rows are responses
-only where no row with that payload has an id.
+only where no row with that payload has an id; line breaks in a url are kept as %0D and %0A; a url that is
+the record's own identifier reads back null, as records without url carry that; very long payloads are a frame
+of their own, of up to 4 GB, which is what a seek table can state, and a longer one is an error; an empty table
+gives an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -221,5 +224,24 @@ def index_of(bundles: DataFrame) -> DataFrame:
     return bundles.select("bundle", F.inline("index"))
 
 
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            name, archive = batch.column("bundle")[i].as_py(), batch.column("archive")[i].as_py()
+            rows, held, data = [], None, b""
+            for place in sorted(batch.column("places")[i].as_py(), key=lambda p: (p["frame"], p["offset"])):
+                if place["frame"] != held:
+                    held, data = place["frame"], read_frame(archive, place["frame"])
+                rows.append({"bundle": name, **read_record(data, place["offset"])[0]})
+            yield pa.RecordBatch.from_pylist(rows, _RECORD_ARROW)
+
+
+def lookup(bundles: DataFrame, page_ids: DataFrame) -> DataFrame:
+    """The records of pages (``page_id``), found through the index; only frames that hold one are decompressed."""
+    wanted = page_ids.select(F.coalesce(F.concat(F.lit("urn:x-page:"), F.col("page_id").cast("string")), F.lit("urn:x-page:none")).alias("record_id")).distinct()
+    places = index_of(bundles).join(wanted, "record_id", "left_semi").groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))
+    return bundles.select("bundle", "archive").join(places, "bundle").mapInArrow(_looked_up, RECORD_TYPE)
+
+
 def record_rows(records: DataFrame) -> list[Column]:
     return [F.col(c) for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")]

@@ -152,6 +152,12 @@ def test_warc_round_trip(spark, sf):
     assert len(places) == len(want)
     for r in places[::7]:
         assert warc_bundles.fetch(archives[r["bundle"]], r["frame"], r["offset"])["record_id"] == r["record_id"]
+    asked = spark.createDataFrame([(r["page_id"],) for r in want[::9]] + [(-5,), (None,)], "page_id long")
+    ids = [r["page_id"] for r in asked.collect()]
+    shown = lambda rows: sorted(str((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"], bytes(r["payload"] or b""))) for r in rows)
+    assert shown(warc_bundles.lookup(bundles, asked).collect()) == shown(r for r in got if r["page_id"] in ids)
+    clash = pages.withColumn("bundle", warc_bundles.F.lit("x")).withColumn("payload", warc_bundles.F.lit(1)).withColumn("refers_to", warc_bundles.F.lit(1))
+    assert sorted(map(str, warc_bundles.read_bundles(warc_bundles.write_bundles(clash)).select(*warc_bundles.record_rows(bundles)).collect())) == sorted(str(r) for r in warc_bundles.read_bundles(bundles).select(*warc_bundles.record_rows(bundles)).collect())
     for archive in archives.values():
         plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(archive), read_across_frames=True).read()
         assert plain.startswith(b"WARC/1.1\r\n")

@@ -1,5 +1,6 @@
 """SentencePiece, language, toxicity, licenses and secrets against libraries, brute force and held-out rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -50,6 +51,17 @@ def test_sentencepiece_columns(spark):
     assert sentencepiece_bpe.round_trip(rows.limit(0), PATH).count() == 0
 
 
+def test_sentencepiece_query_over_documents(spark, sf):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = queries.op5_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = sp.encode(texts[r["doc_id"]], add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids)))
+
+
 def all_segmentations(word, chance, pieces):
     """By recursion over the last piece, with exact fractions, so that long words do not vanish."""
     total = [Fraction(1)] + [Fraction(0)] * len(word)
