@@ -154,6 +154,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_compression.flagged(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op2_media``."""
+    return op2_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "status")
+
+
+MEDIA_SQL = """
+SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(t || repeat(' ', pad)) AS payload_sha256, 'ok' AS status
+FROM (SELECT doc_id, t, n, CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END AS pad FROM (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents))
+"""
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op7_fingerprint``."""
+    return op7_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n FROM documents),
+x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after FROM d)
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(after, 1, n // 2)) AS edited_sha256 FROM x
+"""
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op9_licenses``."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws)::BIGINT AS n,
+  list_filter(range(0, len(ws)), lambda i: ws[i + 1] = 'mit' AND ws[i + 2] = 'license') AS mit,
+  list_filter(range(0, len(ws)), lambda i: ws[i + 1] = 'apache' AND ws[i + 2] = 'license') AS apache,
+  list_filter(range(0, len(ws)), lambda i: ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license') AS gpl FROM w),
+q AS (SELECT *, list_concat(mit, apache, gpl) AS places FROM p)
+SELECT doc_id, n AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  array_to_string(list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM q
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_media": op2_media,
@@ -165,5 +205,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "media_payloads": media_payloads,
+    "fingerprint_edits": fingerprint_edits,
+    "license_base": license_base,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL, "op6_warc": OP6_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL, "op6_warc": OP6_SQL, "media_payloads": MEDIA_SQL, "fingerprint_edits": EDITS_SQL, "license_base": BASE_SQL}
