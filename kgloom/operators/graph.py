@@ -71,8 +71,10 @@ def extracted_edges(relations: DataFrame, evidence: DataFrame, chunks: DataFrame
 
 
 def role_edges(relations: DataFrame, fillers: DataFrame) -> DataFrame:
-    rows = relations.join(fillers.select("relation_id", "role", F.col("label").alias("_l"), F.col("name").alias("_n")), "relation_id")
-    return _edge(rows, relation_key(), ids.entity_id(F.col("_l"), F.col("_n")), F.upper("role"))
+    """Relation to entity by role; a relation's id is made once, before it meets its fillers."""
+    keys = relations.select("relation_id", relation_key().alias("_r"))
+    rows = keys.join(fillers.select("relation_id", "role", ids.entity_id(F.col("label"), F.col("name")).alias("_e")), "relation_id")
+    return _edge(rows, F.col("_r"), F.col("_e"), F.upper("role"))
 
 
 def entity_nodes(fillers: DataFrame, aliases: DataFrame | None = None, embeddings: DataFrame | None = None, embed=None) -> DataFrame:

@@ -189,3 +189,78 @@ def test_type_splits_counts_and_clusters_all_members(spark):
     vectors = spark.range(2100).select("id", F.lit(3).alias("kind"), row.alias("embedding"))
     got = scans.type_splits(vectors, "kind").collect()
     assert [(r["kind"], r["n"], r["n_clusters"], r["is_split"]) for r in got] == [("3", 2100, 2, True)] and got[0]["silhouette"] > 0.99
+
+
+def slow_linkage(ids, m, distance):
+    """Average linkage with every distance taken anew from the vectors."""
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    parts = [[i] for i in range(len(ids))]
+    while len(parts) > 1:
+        gaps = [(float(np.mean([1 - unit[i] @ unit[j] for i in a for j in b])), x, y) for x, a in enumerate(parts) for y, b in enumerate(parts) if x < y]
+        gap, x, y = min(gaps)
+        if gap >= distance:
+            break
+        parts[x] += parts.pop(y)
+    return {ids[i]: min(ids[j] for j in part) for part in parts for i in part}
+
+
+def test_agglomerative_against_slow_linkage(spark, sf):
+    rows = [(str(r["vec_id"]), r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(60).collect()]
+    m = np.array([v for _, v in rows], np.float64)
+    for distance in (0.5, 0.7, 0.85):
+        got = {r["id"]: r["cluster"] for r in clustering.Agglomerative(distance).fit(spark.createDataFrame(rows, "id string, embedding array<double>")).collect()}
+        assert got == slow_linkage([i for i, _ in rows], m, distance)
+
+
+def test_density_against_brute_force(spark, sf):
+    rows = [(str(r["vec_id"]), r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, m = [i for i, _ in rows], np.array([v for _, v in rows], np.float64)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    close = unit @ unit.T > 1 - 0.62
+    core = [i for i in range(len(ids)) if close[i].sum() >= 3]
+    label = {i: i for i in core}
+    for _ in core:
+        for i in core:
+            for j in core:
+                if close[i, j] and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j], key=lambda x: ids[x])
+    names = {i: min(ids[j] for j in core if label[j] == label[i]) for i in core}
+    want = {ids[i]: names[i] for i in core}
+    for i in range(len(ids)):
+        if i not in names and (near := [names[j] for j in core if close[i, j]]):
+            want[ids[i]] = min(near)
+    frame = spark.createDataFrame(rows, "id string, embedding array<double>")
+    assert {r["id"]: r["cluster"] for r in clustering.Density(0.62, drop_noise=True).fit(frame).collect()} == want
+    whole = {r["id"]: r["cluster"] for r in clustering.Density(0.62).fit(frame).collect()}
+    assert set(whole) == set(ids) and {k: whole[k] for k in want} == want
+
+
+def slow_chunks(text, budget, overlap):
+    """Chunks word by word of the rules: whole sentences, and back over the last ones worth the overlap."""
+    if not (text or "").strip():
+        return []
+    parts = []
+    for s in chunking.split_sentences(text):
+        parts += chunking.hard_split(s, budget, chunking.quarter_characters) if len(s) > 4 * budget else [s]
+    size, out, i = [-(-len(p) // 4) for p in parts], [], 0
+    while True:
+        j = i + 1
+        while j < len(parts) and sum(size[i : j + 1]) <= budget:
+            j += 1
+        out.append((sum(map(len, parts[:i])), sum(map(len, parts[:j])), sum(size[i:j])))
+        if j == len(parts):
+            return out
+        back = max((b for b in range(i + 1, j) if sum(size[b:j]) >= overlap), default=None)
+        i = j if back is None else back
+
+
+@pytest.mark.parametrize("budget, overlap", [(10, 3), (40, 12), (7, 30)])
+def test_chunks_against_slow_chunks(spark, sf, budget, overlap):
+    for text in texts():
+        assert chunking.chunk_text(text, budget, overlap) == slow_chunks(text, budget, overlap)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("cast(doc_id as string) document_id", "text").limit(40)
+    got = {}
+    for r in chunking.chunks(docs, 64, 16).collect():
+        got.setdefault(r["document_id"], []).append((r["start_char"], r["end_char"], r["token_count"], r["text"]))
+    want = {r["document_id"]: [(a, b, k, r["text"][a:b]) for a, b, k in slow_chunks(r["text"], 64, 16)] for r in docs.collect() if (r["text"] or "").strip()}
+    assert {k: sorted(v) for k, v in got.items()} == want
