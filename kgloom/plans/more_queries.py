@@ -292,3 +292,48 @@ def vector_index_search(spark, sf):
     v = D.vectors(spark, sf)
     found = vector_index.search(v.where(F.col("id").cast("int") % 20 == 0), vector_index.index(v), 10, probes=24)
     return found.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT doc_id::VARCHAR AS document_id, text, lang, source FROM documents")
+def document_source(spark, sf):
+    docs = sources.from_parquet(spark, f"{sf}/documents.parquet", metadata=("lang", "source"))
+    return docs.select("document_id", "text", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
+
+
+@query("SELECT event_id, coalesce(value / 100 BETWEEN 0 AND 1, false) AS is_confidence, upper(event_type) IN ('ONTOLOGICAL', 'DYNAMIC', 'STRUCTURAL') OR event_id % 3 = 0 AS is_axis FROM events")
+def relation_checks(spark, sf):
+    axis = F.when(F.col("event_id") % 3 == 0, "STRUCTURAL").otherwise(F.upper("event_type"))
+    return table(spark, sf, "events").select("event_id", relations.valid_confidence(F.col("value") / 100).alias("is_confidence"), relations.valid_axis(axis).alias("is_axis"))
+
+
+@query("""SELECT n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS hash FROM nation UNION ALL SELECT 1000000 + c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') FROM customer""")
+def row_hashes(spark, sf):
+    from kgloom.functions import ids
+
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), ids.full_hash(F.struct("n_nationkey", "n_name")).alias("hash"))
+    return n.unionByName(table(spark, sf, "customer").select((F.col("c_custkey") + 1000000).alias("n_nationkey"), ids.full_hash(F.struct("c_custkey", "c_name")).alias("hash")))
+
+
+@query(f"WITH {FILLERS} SELECT label, name, min(relation_id) AS relation_id FROM fil GROUP BY 1, 2")
+def deduplicated_entities(spark, sf):
+    return relations.deduplicated(D.order_fillers(D.order_relations(spark, sf))).select("label", "name", "relation_id")
+
+
+@query(
+    f"""WITH {FILLERS}, e AS (SELECT DISTINCT label, '- ' || label || ': ' || label || ' entity.' AS line FROM fil), g AS (SELECT DISTINCT concat_ws(' ', 'Customer PLACED_PURCHASE_ORDER', t.label) AS g FROM rel LEFT JOIN (SELECT relation_id, label FROM fil WHERE role = 'theme') t USING (relation_id) ORDER BY g LIMIT 2)
+SELECT (SELECT string_agg(line, chr(10) ORDER BY line) FROM e) || chr(10) || '- PLACED: ' || (SELECT string_agg(g, '; ' ORDER BY g) FROM g) AS text"""
+)
+def prompt_context(spark, sf):
+    """The whole graph as a context's text: a definition a label, two examples a verb."""
+    nodes, _ = _order_graph(spark, sf)
+    p = F.col("properties")
+    entities = nodes.where("kind = 'Entity'").select("id", p["name"].alias("name"), p["label_class"].alias("label"), p["definition"].alias("definition"))
+    rels = nodes.where((F.col("kind") == "Relation") & p["generic"].isNotNull()).select("id", p["generic"].alias("generic"), p["verb"].alias("verb"), p["description"].alias("description"))
+    return retrieval.prompt_text(entities, rels)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct, bool_and(event_id IN (SELECT event_id FROM events)) AS is_subset FROM (SELECT event_id FROM events LIMIT 100)")
+def sampled_examples(spark, sf):
+    """A fixed sample of 100 examples."""
+    e = table(spark, sf, "events")
+    return events.sampled(e, "event_id", 100).select("event_id").join(e.select("event_id").distinct(), "event_id", "left_semi").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_distinct"), F.lit(True).alias("is_subset"))

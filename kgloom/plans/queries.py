@@ -622,13 +622,27 @@ def event_consistency(spark, sf):
     return events.inconsistent(e, results, ["event_type", "value"])
 
 
-@query("SELECT source_id, target_id, relation_type, via FROM (VALUES ('orders', 'customer', 'RELATES_TO', 'o_custkey'), ('customer', 'nation', 'RELATES_TO', 'c_nationkey'), ('orders', 'order_status', 'HAS_ENUM', 'o_orderstatus')) AS t(source_id, target_id, relation_type, via)")
+SCHEMA_TABLES = ("customer", "events", "nation", "orders", "part", "region", "supplier")
+_TEXTS = {"customer": ("c_name", "c_mktsegment"), "events": ("event_type", "props"), "nation": ("n_name",), "orders": ("o_orderstatus", "o_orderpriority"), "part": ("p_name", "p_brand", "p_type"), "region": ("r_name",), "supplier": ("s_name",)}
+_KEYS = {("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("supplier", "s_nationkey", "nation", "n_nationkey")}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{t}' AS source_id, '{u}' AS target_id, 'RELATES_TO' AS relation_type, '{c}' AS via WHERE NOT EXISTS (SELECT 1 FROM {t} ANTI JOIN {u} ON {c} = {k} WHERE {c} IS NOT NULL)" for t, c, u, k in sorted(_KEYS))
+    + "".join(f" UNION ALL SELECT '{t}', '{t}_{c}', 'HAS_ENUM', '{c}' FROM {t} HAVING count(DISTINCT {c}) BETWEEN 1 AND 10 AND count(*) >= 2 * count(DISTINCT {c})" for t, cs in _TEXTS.items() for c in cs)
+)
 def schema_graph(spark, sf):
-    rows = [(t, f.name, f.dataType.simpleString()) for t in ("orders", "customer", "nation") for f in table(spark, sf, t).schema.fields]
-    columns = spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
-    keys = spark.createDataFrame([("orders", "o_custkey", "customer"), ("customer", "c_nationkey", "nation")], "table_name string, column_name string, target_table string")
-    enums = table(spark, sf, "orders").select(F.lit("orders").alias("table_name"), F.lit("o_orderstatus").alias("column_name"), F.lit("order_status").alias("enum_name"), F.col("o_orderstatus").alias("value")).distinct()
-    return events.schema_graph(columns, keys, enums)[1]
+    """Tables, keys and enumerations read off the data."""
+    tables = {t: table(spark, sf, t) for t in SCHEMA_TABLES}
+    return events.schema_graph(sources.column_rows(tables), sources.foreign_keys(tables), sources.enumerations(tables))[1]
+
+
+@query("SELECT 'customer' AS id, 'Class' AS kind, list_sort(['c_acctbal', 'c_custkey', 'c_mktsegment', 'c_name', 'c_nationkey']) AS columns UNION ALL SELECT 'customer_c_mktsegment', 'Enum', list_sort(list(DISTINCT c_mktsegment)) FROM customer")
+def schema_nodes(spark, sf):
+    tables = {"customer": table(spark, sf, "customer")}
+    nodes = events.schema_graph(sources.column_rows(tables), sources.foreign_keys(tables), sources.enumerations(tables))[0]
+    p = F.col("properties")
+    return nodes.select("id", "kind", F.when(F.col("kind") == "Enum", F.array_sort(F.split(p["values"], ","))).otherwise(F.array_sort(F.map_keys(p))).alias("columns"))
 
 
 # --- scans over a graph
