@@ -76,8 +76,9 @@ SHINGLE, BROADCAST_PASSAGES = 8, 100_000
 
 
 def _runs(text: Column) -> Column:
-    words = F.split(text, r"(?U)\s+")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
+    """Hashes of all runs of words; the text is split once and the words are bound before the runs are cut."""
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
+    return F.get(F.transform(F.array(F.split(text, r"(?U)\s+")), runs), F.lit(0))
 
 
 def contained_passages(docs: DataFrame, marks: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def py_title(spark, sf):
 
 
 #: Escapes of the accented letters that the query puts into names.
-ESCAPED = "replace(replace(replace(c_name, 'C', '\\u00c9'), 'u', '\\u65e5'), 'm', '\\ud83d\\ude00')"
+ESCAPED = "replace(replace(replace(c_name, 'u', '\\u65e5'), 'C', '\\u00c9'), 'm', '\\ud83d\\ude00')"
 
 
 @query(f"SELECT c_custkey, {id_sql(label=chr(39) + 'Customer' + chr(39), name='c_name')} AS entity_id, {id_sql(label=chr(39) + 'Customer' + chr(39), name=ESCAPED)} AS accented_id FROM customer")
