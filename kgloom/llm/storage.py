@@ -1,40 +1,40 @@
 """Shared storage for intermediate tables.
 
-Lineage is cut by writing a table under ``spark.checkpoint.dir``: executors can be lost and every
-other executor and the driver still see the files.  A session without that setting (tests, notebooks)
-gets a fresh temporary folder of its own.
+Lineage is cut by writing a table under the shared folder (``spark.checkpoint.dir``): executors can be lost
+and every other executor and the driver still see the files.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgloom.sources.shared import fresh_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        folder = tempfile.mkdtemp(prefix="kgloom-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
+#: Bytes of an Arrow batch while a table is written; both a task's JVM and its Python worker hold some copies of a batch.
+BATCH_BYTES = "6m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of bounded size for the jobs run inside; the session's own setting comes back."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._written_to = path
     return back
