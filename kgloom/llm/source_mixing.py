@@ -6,8 +6,9 @@ and the rest goes to its siblings.  As a child's limit is that of all leaves bel
 a leaf is made up by its siblings first and only then by those of its ancestors.
 
 A leaf then takes whole epochs and a prefix of one more, in an order seeded by epoch and document.
-Prefixes are found from token sums of hash ranges; only the range that the prefix ends in is summed row
-by row, so a source with a third of all rows is never in one task.
+Prefixes are found from token sums of hash ranges; the range that the prefix ends in is cut again, ``LEVELS_CUT``
+times in all, and only the last, with one of some 17 million parts of a leaf's rows, is summed row by row, so a
+source with a third of all rows is never in one task.
 
 All amounts are whole numbers, rounded down at each level.
 
@@ -31,7 +32,8 @@ LEVELS = ("domain", "lang", "source")
 #: Leaves up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_LEAVES = 20_000
 MADE = ("domain_key", "n_tokens", "copies")
-RANGE_DIGITS = 3
+#: Hash digits of one cut, and how often the range that a prefix ends in is cut.
+RANGE_DIGITS, LEVELS_CUT = 2, 3
 
 
 @dataclass(frozen=True)
@@ -99,14 +101,17 @@ def mixed(docs: DataFrame, plan: MixPlan, domain: Column, lang: str = "lang", so
     given = written(leaf_budgets(leaves, plan).where("tokens > 0").select(*keys, F.expr("given div tokens").alias("_full"), F.expr("given % tokens").alias("_rest")), "mix-given")
     small = given.count() <= BROADCAST_LEAVES
     attach = lambda rows, side: rows.join(F.broadcast(side) if small else side, keys)
-    ranged = attach(narrow, given).withColumn("_range", F.substring(_order(plan, "_id"), 1, RANGE_DIGITS))
-    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"), F.first("_rest").alias("_rest"))
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    cut = sums.where("_before + _sum > _rest").groupBy(*keys).agg(F.min(F.struct("_range", "_before")).alias("_cut"))
-    ends = written(given.join(cut, keys, "left").select(*keys, "_full", "_rest", F.col("_cut._range").alias("_cut"), F.col("_cut._before").alias("_before")), "mix-ends")
+    ends = given.select("*", F.lit("").alias("_cut"), F.lit(0).cast("long").alias("_before"))
+    for level in range(LEVELS_CUT):
+        place = F.substring(_order(plan, "_id"), 1, RANGE_DIGITS * (level + 1))
+        ranged = attach(narrow, ends).withColumn("_range", place).where(F.startswith("_range", F.col("_cut")))
+        sums = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"), F.first("_rest").alias("_rest"), F.first("_before").alias("_start"))
+        before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        cut = sums.where("_before + _sum > _rest").groupBy(*keys).agg(F.min(F.struct("_range", "_before")).alias("_cut"))
+        ends = written(given.join(cut, keys, "left").select(*keys, "_full", "_rest", F.col("_cut._range").alias("_cut"), F.col("_cut._before").alias("_before")), "mix-ends")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *leaf, F.col(doc_id).alias("_id"), tokens.alias("_n"))
-    rows = attach(rows, ends).withColumn("_place", _order(plan, "_id")).withColumn("_range", F.substring("_place", 1, RANGE_DIGITS))
+    rows = attach(rows, ends).withColumn("_place", _order(plan, "_id")).withColumn("_range", F.substring("_place", 1, RANGE_DIGITS * LEVELS_CUT))
     inside = rows.where(F.col("_range") == F.col("_cut"))
     upto = W.partitionBy(*keys).orderBy("_place", "_id").rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("_more", (F.col("_before") + F.sum("_n").over(upto) <= F.col("_rest")).cast("int"))
