@@ -433,7 +433,8 @@ def links_of(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     clusters = connected(members, data, "point", join)
     discard(members)
     sized = clusters.join(data.select(F.col("node").alias("_node"), "n").hint("shuffle_merge"), F.col("node") == F.col("_node")).groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("_n"))
-    sized = sized.select(F.col("component").alias("key"), "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    # Written, as a join of two exchanges is split where a cluster is large.
+    sized = written(sized.select(F.col("component").alias("key"), "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("_n") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "jaccard-sizes")
     members = written(clusters.join(sized.hint("shuffle_merge"), F.col("component") == F.col("key")).select("key", "node", "m", "blocks"), "jaccard-clusters")
     discard(clusters)
     found = connected(members, data, "grams", join)
@@ -453,7 +454,7 @@ def similar_groups(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id",
     classes = written(signed.where("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("_first")).select("node", "_first.*"), "jaccard-classes")
     found = links_of(hashed, classes, join)
     named = classes.join(found.select(F.col("node").alias("_node"), "component").hint("shuffle_merge"), F.col("node") == F.col("_node"))
-    named = named.groupBy("component").agg(F.min("id").alias("component_id")).select(F.col("component").alias("_component"), "component_id")
+    named = written(named.groupBy("component").agg(F.min("id").alias("component_id")).select(F.col("component").alias("_component"), "component_id"), "jaccard-names")
     named = found.join(named.hint("shuffle_merge"), F.col("component") == F.col("_component")).select(F.col("node").alias("_node"), "component", "component_id")
     merged = classes.join(named.hint("shuffle_merge"), F.col("node") == F.col("_node"), "left")
     merged = written(merged.select(F.col("node").alias("_node"), F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "id").alias("component_id")), "jaccard-merged")
