@@ -1,4 +1,7 @@
-"""License signatures, one hand-written rule a line: label, tier and a regex over lower-case words.
+"""License signatures, one rule a line: label, tier and a regex over lower-case words.
+
+The rules were written by hand; grants that differ in their verb only (licensed, released, ... under) were then
+split into a line for each.
 
 Tiers, best first: T a machine-readable tag, G a grant (the license's own words or "licensed under"), N a
 license's name, O a notice that hints at one.  ``~`` stands for ``licen[sc]e``.  Of equal intervals in one
