@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgloom.llm.storage import collect_garbage, written
+
 NEAR = 48
 FINDINGS, TREES, DEPTH, SEED = 4000, 15, 6, 11
 #: Share of trees from which a candidate is a secret; under one half, as a missed secret costs more than a masked token.
@@ -218,8 +220,12 @@ def fit(spark: SparkSession, findings: DataFrame | None = None) -> str:
     # Made and measured in two stages, as the code of both is too long for one.
     rows = findings.repartition(8).select("label", *[c.alias(k) for k, c in made.items()])
     rows = VectorAssembler(inputCols=list(made), outputCol="features").transform(rows).select("label", "features")
+    rows = written(rows, "secret-findings")
+    collect_garbage(spark)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(rows)
-    return forest_sql(model.toDebugString)
+    shown = forest_sql(model.toDebugString)
+    collect_garbage(spark)
+    return shown
 
 
 def _hits(text: Column) -> tuple[Column, Column]:

@@ -46,6 +46,11 @@ def discard(*tables: DataFrame) -> None:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table._written_to)
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        collect_garbage(tables[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Free what the driver no longer needs, in Python and in the JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
