@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import zlib
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -17,59 +19,102 @@ from pyspark.sql import functions as F
 from kgloom.functions import vectors as V
 from kgloom.sources.shared import written
 
-BLOCK_ROWS = 2048
+#: Rows of a block at most; a table of many rows is cut into ``MANY`` blocks at least, so that their pairs are work for many tasks.
+BLOCK_ROWS, LEAST_ROWS, MANY = 16384, 512, 8
+#: Scores that are held at once, and pairs that are given on at once.
+TILE, GIVEN = 1 << 22, 1 << 16
+#: Sums of products in another order differ by less.
+SLACK = 1e-11
+
+Block = tuple[pa.Array, np.ndarray]
 
 
 def _kept(df: DataFrame) -> DataFrame:
     return written(df, "clustering")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    m = np.array(column.tolist(), np.float64).reshape(len(column), -1)
+def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + V.EPSILON)
 
 
-def blocks(vectors: DataFrame, key: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Vectors packed into blocks (``block``, ids, vectors) of about ``rows`` by a hash of their key, and never more than one block per task.
+def _matrix(column: pd.Series) -> np.ndarray:
+    return _unit(np.array(column.tolist(), np.float64).reshape(len(column), -1))
 
-    Their number follows the table's count, so no block grows with the data.
-    """
-    n = max(1, -(-vectors.count() // rows))
-    packed = vectors.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"), F.struct(F.col(key).cast("string").alias("id"), "embedding").alias("v"))
-    return packed.groupBy("block").agg(F.collect_list("v").alias("vs"))
+
+def _pieces(rows: int) -> int:
+    return max(1, -(-rows // BLOCK_ROWS), min(MANY, -(-rows // LEAST_ROWS)))
 
 
-def _scored(pairs: DataFrame, top: int, schema: str) -> DataFrame:
-    """Per pair of blocks, each left row's ``top`` right rows by cosine (ties: the smaller id)."""
+def blocks(vectors: DataFrame, key: str, n: int, *by: str) -> DataFrame:
+    """Vectors packed into ``n`` blocks by a hash of their key (within each ``by``): ``block``, ``ids`` and the coordinates one behind the other."""
+    rows = vectors.select(*by, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"), F.struct(F.col(key).cast("string").alias("id"), "embedding").alias("v"))
+    return rows.groupBy(*by, "block").agg(F.collect_list("v").alias("vs")).select(*by, "block", F.col("vs.id").alias("ids"), F.flatten("vs.embedding").alias("flat"))
+
+
+def met(left: DataFrame, right: DataFrame, cells: int, work: Callable[[Block, Block, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on each two blocks of one ``cell`` (and whether they are the same one), in ``cells`` tasks; a task holds one pair at a time."""
+    side = lambda df, s: df.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "ids", "flat")]).repartition(cells, "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(batch: pa.RecordBatch, s: str, k: int) -> Block:
+            ids = batch.column(f"{s}_ids")[k].values
+            return ids, _unit(batch.column(f"{s}_flat")[k].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for left, right in zip(batch["left"], batch["right"]):
-                a, b = _matrix(pd.Series([v["embedding"] for v in left])), _matrix(pd.Series([v["embedding"] for v in right]))
-                names = np.array([v["id"] for v in right])
-                scores = a @ b.T
-                by_name = np.argsort(names, kind="stable")
-                scores, names = scores[:, by_name], names[by_name]
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-                out = pd.DataFrame({"id": np.repeat([v["id"] for v in left], order.shape[1]), "match": names[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-                yield out
+            for k in range(batch.num_rows):
+                same = batch.column("l_block")[k].as_py() == batch.column("r_block")[k].as_py()
+                yield from work(block(batch, "l", k), block(batch, "r", k), same)
+
+    return side(left, "l").join(side(right, "r"), "cell").drop("cell").mapInArrow(run, schema)
+
 
-    return pairs.mapInPandas(run, schema)
+def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Scores of some rows of ``a`` with all of ``b`` at a time, and the first of these rows."""
+    step = max(1, TILE // max(1, len(b)))
+    for start in range(0, len(a), step):
+        yield start, a[start : start + step] @ b.T
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], list(columns))
+
+
+def best_of(left: Block, right: Block, top: int) -> Iterator[pa.RecordBatch]:
+    """Each left row's ``top`` right rows by cosine (ties: the smaller id); like vectors have like scores wherever they stand."""
+    (ids, a), (names, b) = left, right
+    place = np.empty(len(b), np.int64)
+    place[np.argsort(names.to_numpy(zero_copy_only=False).astype(str), kind="stable")] = np.arange(len(b))
+    for start, scores in _tiles(a, b):
+        cut = max(0, len(b) - top)
+        least = np.partition(scores, cut, axis=1)[:, cut] - SLACK
+        p, q = np.nonzero(scores >= least[:, None])
+        del scores
+        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[start + p[i : i + GIVEN]], b[q[i : i + GIVEN]]) for i in range(0, len(p), GIVEN))])
+        order = np.lexsort((place[q], -exact, p))
+        p, q, exact = p[order], q[order], exact[order]
+        rank = np.arange(len(p)) - np.searchsorted(p, p)
+        p, q, exact = p[rank < top], q[rank < top], exact[rank < top]
+        yield _batch(id=ids.take(pa.array(start + p)), match=names.take(pa.array(q)), score=exact)
 
 
 def neighbours(queries: DataFrame, items: DataFrame, top: int, key: str = "id", others: bool = False) -> DataFrame:
     """Each query's ``top`` items by cosine, ``id, match, score, rank``: all items for a stated set of queries, in blocks of matrix products.
 
-    A task holds two blocks; per query only ``top`` rows a block go through the shuffle.  With ``others``, an item is
-    no neighbour of the query that has its id.
+    A task holds two blocks and a tile of their scores; per query only ``top`` rows a block go through the shuffle.
+    With ``others``, an item is no neighbour of the query that has its id.
     """
     if others:
         rows = neighbours(queries, items, top + 1, key).where("id <> match")
         by = W.partitionBy("id").orderBy("rank")
         return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
-    left = blocks(queries, key).select(F.col("vs").alias("left"))
-    right = blocks(items, key).select(F.col("vs").alias("right"))
-    rows = _scored(left.join(right), top, "id string, match string, score double")
+    m, n = _pieces(queries.count()), _pieces(items.count())
+    left = blocks(queries, key, m).withColumn("cell", F.explode(F.sequence(F.col("block") * n, F.col("block") * n + n - 1)))
+    right = blocks(items, key, n).withColumn("cell", F.explode(F.sequence("block", F.col("block") + (m - 1) * n, F.lit(n))))
+    return ranked(met(left, right, m * n, lambda a, b, _: best_of(a, b, top), "id string, match string, score double"), top)
+
+
+def ranked(rows: DataFrame, top: int) -> DataFrame:
+    """The ``top`` best ``match`` of each ``id`` with their ranks (ties: the smaller id)."""
     best = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("by"), "match"))), 1, top).alias("best"))
     return best.select("id", F.posexplode("best").alias("rank", "b")).select("id", F.col("b.match").alias("match"), (-F.col("b.by")).alias("score"), (F.col("rank") + 1).alias("rank"))
 
@@ -83,22 +128,29 @@ def best_match(rows: DataFrame, types: DataFrame, within: list[str], key: str =
     return neighbours(rows, types, 1, key).select(F.col("id").cast(rows.schema[key].dataType).alias(key), F.col("match").alias("best_id"), F.col("score").alias("best_score"))
 
 
+def _each_pair(vectors: DataFrame, key: str, work: Callable[[Block, Block, bool], Iterator[pa.RecordBatch]], schema: str, both: bool = False) -> DataFrame:
+    """``work`` on each two blocks of a table once, or with ``both`` in either order."""
+    n = _pieces(vectors.count())
+    packed = blocks(vectors, key, n)
+    left = packed.withColumn("cell", F.explode(F.sequence(F.col("block") * n + (F.lit(0) if both else F.col("block")), F.col("block") * n + n - 1)))
+    right = packed.withColumn("cell", F.explode(F.sequence(F.col("block"), F.col("block") + (F.lit((n - 1) * n) if both else F.col("block") * n), F.lit(n))))
+    return met(left, right, n * n if both else n * (n + 1) // 2, work, schema)
+
+
 def close_pairs(vectors: DataFrame, least: float, key: str = "id") -> DataFrame:
     """Pairs ``a < b`` with a cosine above ``least``, block against block; only such pairs leave a task."""
-    packed = blocks(vectors, key)
-    left, right = packed.select(F.col("block").alias("i"), F.col("vs").alias("left")), packed.select(F.col("block").alias("j"), F.col("vs").alias("right"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, j, x, y in zip(batch["i"], batch["j"], batch["left"], batch["right"]):
-                scores = _matrix(pd.Series([v["embedding"] for v in x])) @ _matrix(pd.Series([v["embedding"] for v in y])).T
-                p, q = np.nonzero(scores > least)
-                u, v = np.array([v["id"] for v in x])[p], np.array([v["id"] for v in y])[q]
-                keep = u < v if i == j else u != v
-                low, high = np.minimum(u[keep].astype(object), v[keep].astype(object)), np.maximum(u[keep].astype(object), v[keep].astype(object))
-                yield pd.DataFrame({"a": low, "b": high, "score": scores[p, q][keep]})
-
-    return left.join(right, F.col("i") <= F.col("j")).mapInPandas(run, "a string, b string, score double")
+    def work(left: Block, right: Block, same: bool) -> Iterator[pa.RecordBatch]:
+        (x, a), (y, b) = left, right
+        for start, scores in _tiles(a, b):
+            p, q = np.nonzero(scores > least)
+            found = scores[p, q]
+            for i in range(0, len(p), GIVEN):
+                u, v, s = x.take(pa.array(start + p[i : i + GIVEN])), y.take(pa.array(q[i : i + GIVEN])), found[i : i + GIVEN]
+                keep = pc.less(u, v) if same else pc.not_equal(u, v)
+                yield _batch(a=pc.min_element_wise(u, v), b=pc.max_element_wise(u, v), score=s).filter(keep)
+
+    return _each_pair(vectors, key, work, "a string, b string, score double")
 
 
 def likely_pairs(vectors: DataFrame, least: float, key: str = "id", tables: int = 8, width: float = 1.0, seed: int = 7) -> DataFrame:

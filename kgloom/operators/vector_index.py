@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgloom.functions import vectors as V
+from kgloom.operators import clustering
 from kgloom.operators.clustering import _matrix
 
 #: Vectors that the centres are fitted on, those with the smallest hashes of their ids; all vectors are indexed.
@@ -40,10 +40,11 @@ def _closest(vectors: DataFrame, centres: np.ndarray, n: int, name: str) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                near = np.argsort(-(_matrix(batch["embedding"]) @ centres.T), axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), near.shape[1]), "embedding": [v for v in batch["embedding"] for _ in range(near.shape[1])], name: near.ravel()})
+                near = np.argsort(-(_matrix(batch["embedding"]) @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                yield batch.assign(**{name: list(near)})
 
-    return vectors.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, f"id string, embedding array<double>, {name} int")
+    rows = vectors.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInPandas(run, f"id string, embedding array<double>, {name} array<int>").withColumn(name, F.explode(name))
 
 
 def index(vectors: DataFrame, lists: int = 32) -> tuple[DataFrame, np.ndarray]:
@@ -55,15 +56,20 @@ def index(vectors: DataFrame, lists: int = 32) -> tuple[DataFrame, np.ndarray]:
 def search(queries: DataFrame, indexed: tuple[DataFrame, np.ndarray], top: int, probes: int = 8) -> DataFrame:
     """``id, match, score, rank`` of each query's ``top`` vectors among its ``probes`` closest lists.
 
-    More probes find more; as many as there are lists find all.  Queries meet lists by an equi-join, and only
-    ``top`` rows of a query are kept.
+    More probes find more; as many as there are lists find all.  Queries meet lists block by block in matrix products,
+    and only ``top`` rows of a query and block go through the shuffle.
     """
     held, centres = indexed
-    asked = _closest(queries, centres, probes, "list").withColumnRenamed("embedding", "_q")
-    items = held.select(F.col("id").alias("match"), F.col("embedding").alias("_v"), "list")
-    rows = asked.join(items, "list").select("id", "match", V.cosine(F.col("_q"), F.col("_v")).alias("score"))
-    by = W.partitionBy("id").orderBy(F.desc("score"), "match")
-    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+    probes = max(1, min(probes, len(centres)))
+    asked = _closest(queries, centres, probes, "list") if len(centres) else queries.select(F.col("id").cast("string").alias("id"), "embedding", F.lit(0).alias("list"))
+    lists = max(1, len(centres))
+    m, n = (clustering._pieces(df.groupBy("list").count().agg(F.max("count")).first()[0] or 0) for df in (asked, held))
+    first = (F.col("list") * m + F.col("block")) * n
+    left = clustering.blocks(asked, "id", m, "list").withColumn("cell", F.explode(F.sequence(first, first + n - 1)))
+    first = F.col("list") * m * n + F.col("block")
+    right = clustering.blocks(held, "id", n, "list").withColumn("cell", F.explode(F.sequence(first, first + (m - 1) * n, F.lit(n))))
+    found = clustering.met(left, right, lists * m * n, lambda x, y, _: clustering.best_of(x, y, top), "id string, match string, score double")
+    return clustering.ranked(found, top)
 
 
 def recall(found: DataFrame, true: DataFrame) -> DataFrame:

@@ -264,3 +264,23 @@ def test_chunks_against_slow_chunks(spark, sf, budget, overlap):
         got.setdefault(r["document_id"], []).append((r["start_char"], r["end_char"], r["token_count"], r["text"]))
     want = {r["document_id"]: [(a, b, k, r["text"][a:b]) for a, b, k in slow_chunks(r["text"], 64, 16)] for r in docs.collect() if (r["text"] or "").strip()}
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_best_rows_of_blocks_take_ties_by_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"{i:03d}", rng.normal(size=8).tolist()) for i in range(90)]
+    rows += [(f"c{i}", rows[7][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = {(r["id"], r["rank"]): r["match"] for r in clustering.neighbours(df.where("id = '007'"), df, 12).collect()}
+    assert got == {("007", k + 1): m for k, m in enumerate(sorted(["007", *(f"c{i}" for i in range(40))])[:12])}
+
+
+def test_index_search_meets_lists_in_blocks(spark):
+    from kgloom.operators import vector_index
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(f"{i:04d}", rng.normal(size=8).tolist()) for i in range(1500)], "id string, embedding array<double>")
+    found = vector_index.search(df.where("id < '0030'"), vector_index.index(df, 4), 5, probes=4)
+    assert "lambdafunction" not in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    true = {(r["id"], r["match"], r["rank"]) for r in clustering.neighbours(df.where("id < '0030'"), df, 5).collect()}
+    assert {(r["id"], r["match"], r["rank"]) for r in found.collect()} == true
