@@ -266,6 +266,17 @@ def test_chunks_against_slow_chunks(spark, sf, budget, overlap):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def most_memory(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
 def test_best_rows_of_blocks_take_ties_by_id(spark):
     rng = np.random.default_rng(4)
     rows = [(f"{i:03d}", rng.normal(size=8).tolist()) for i in range(90)]
@@ -284,3 +295,11 @@ def test_index_search_meets_lists_in_blocks(spark):
     assert "lambdafunction" not in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     true = {(r["id"], r["match"], r["rank"]) for r in clustering.neighbours(df.where("id < '0030'"), df, 5).collect()}
     assert {(r["id"], r["match"], r["rank"]) for r in found.collect()} == true
+
+
+def test_average_linkage_needs_no_square_of_memory():
+    rng = np.random.default_rng(4)
+    hub = rng.normal(size=(1, 16)) + rng.normal(size=(4000, 16)) * 0.3
+    assert most_memory(lambda: clustering.average_linkage(hub, 0.2)) < 4000 * 4000 * 8
+    copies = np.repeat(rng.normal(size=(5, 16)), 1000, axis=0)
+    assert (clustering.average_linkage(copies, 0.2) == np.unique(np.repeat(clustering.average_linkage(copies[::1000], 0.2), 1000), return_inverse=True)[1]).all()
