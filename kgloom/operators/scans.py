@@ -60,21 +60,26 @@ def silhouette(vectors: np.ndarray, label: np.ndarray) -> float:
     k = label.max() + 1
     if k < 2:
         return 0.0
-    sums = np.array([unit[label == c].sum(axis=0) for c in range(k)])
+    sums = np.zeros((k, unit.shape[1]))
+    np.add.at(sums, label, unit)
     size = np.bincount(label, minlength=k).astype(float)
-    to = size[None, :] - unit @ sums.T
-    own = size[label]
-    inner = to[np.arange(len(label)), label] / np.maximum(own - 1, 1)
-    mean = to / size[None, :]
-    mean[np.arange(len(label)), label] = np.inf
-    outer = mean.min(axis=1)
-    return float(np.where(own > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), V.EPSILON), 0.0).mean())
+    total, step = 0.0, max(1, clustering.TILE // k)
+    for start in range(0, len(unit), step):
+        at = label[start : start + step]
+        n, own = np.arange(len(at)), size[at]
+        to = size[None, :] - unit[start : start + step] @ sums.T
+        inner = to[n, at] / np.maximum(own - 1, 1)
+        to /= size[None, :]
+        to[n, at] = np.inf
+        outer = to.min(axis=1)
+        total += np.where(own > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), V.EPSILON), 0.0).sum()
+    return float(total / len(unit))
 
 
 def type_splits(vectors: DataFrame, by: str, distance: float = 0.5, least_silhouette: float = 0.3, least_share: float = 0.10) -> DataFrame:
     """Types whose relations fall into clear clusters: silhouette, number of clusters and whether to split.
 
-    All members of a type are clustered, exactly and by one task, whose memory grows with the square of their number.
+    All members of a type are clustered, exactly and by one task, whose memory grows with their number.
     """
     rows = vectors.select(F.col(by).cast("string").alias(by), F.col("id").cast("string").alias("id"), "embedding")
 

@@ -303,3 +303,15 @@ def test_average_linkage_needs_no_square_of_memory():
     assert most_memory(lambda: clustering.average_linkage(hub, 0.2)) < 4000 * 4000 * 8
     copies = np.repeat(rng.normal(size=(5, 16)), 1000, axis=0)
     assert (clustering.average_linkage(copies, 0.2) == np.unique(np.repeat(clustering.average_linkage(copies[::1000], 0.2), 1000), return_inverse=True)[1]).all()
+
+
+def test_silhouette_of_many_clusters_is_taken_in_parts():
+    rng = np.random.default_rng(4)
+    points, label = rng.normal(size=(6000, 8)), np.arange(6000) // 2
+    assert most_memory(lambda: scans.silhouette(points, label)) < 6000 * 3000 * 8
+    few, own = points[:40], label[:40]
+    unit = few / np.linalg.norm(few, axis=1, keepdims=True)
+    gap = 1 - unit @ unit.T
+    inner = [gap[i, i ^ 1] for i in range(40)]
+    outer = [min(gap[i, own == c].mean() for c in range(20) if c != own[i]) for i in range(40)]
+    assert np.isclose(scans.silhouette(few, own), np.mean([(b - a) / max(a, b) for a, b in zip(inner, outer)]))
