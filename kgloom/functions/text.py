@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Space separators (Unicode Zs).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
     """Every code point that is one ASCII character once decomposed and freed of marks, and those characters."""
@@ -104,7 +108,7 @@ def coverage_score(text: Column) -> Column:
 
 
 def overlap_prefix(text: Column, quote: Column) -> Column:
-    """Length of the longest prefix of ``quote`` anywhere in ``text``; texts of up to 10 characters have none.
+    """Length of the longest prefix of ``quote`` anywhere in ``text``; texts of up to 10 characters and missing quotes have none.
 
     Containment of prefixes is monotone, so the length is found by halving, in as many steps as the quote's length has bits.
     """
@@ -113,7 +117,7 @@ def overlap_prefix(text: Column, quote: Column) -> Column:
         F.struct(F.lit(0).alias("lo"), F.length(quote).alias("hi")),
         lambda s, _: _halved(s, text, quote),
     )
-    return F.when(F.length(text) <= 10, 0).otherwise(bounds["lo"])
+    return F.when(F.length(text) <= 10, 0).otherwise(F.coalesce(bounds["lo"], F.lit(0)))
 
 
 def _halved(state: Column, text: Column, quote: Column) -> Column:
@@ -122,6 +126,11 @@ def _halved(state: Column, text: Column, quote: Column) -> Column:
     return F.struct(F.when(fits, mid).otherwise(state["lo"]).alias("lo"), F.when(fits, state["hi"]).otherwise(F.greatest(mid - 1, state["lo"])).alias("hi"))
 
 
+def trimmed(text: Column) -> Column:
+    """Without the space separators around it, as SQL trims."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def object_path(path: Column) -> Column:
     """Bucket and key of a ``bucket/key`` path."""
     parts = F.split(path, "/", 2)

@@ -58,9 +58,14 @@ def valid_quote(quote: Column) -> Column:
     return F.coalesce(F.length(quote) >= MIN_QUOTE, F.lit(False))
 
 
+def stands_in(text: Column, quote: Column) -> Column:
+    """Whether a text contains a quote, spaces around it apart; null where either is missing."""
+    return F.contains(text, X.trimmed(quote))
+
+
 def verbatim(text: Column, quote: Column) -> Column:
     """A quote stands in a text; texts that are empty or missing contradict nothing."""
-    return F.coalesce(F.contains(text, F.trim(quote)), F.lit(True)) | (F.coalesce(text, F.lit("")) == "")
+    return F.coalesce(stands_in(text, quote), F.lit(True)) | (F.coalesce(text, F.lit("")) == "")
 
 
 def without_generic(relations: DataFrame, fillers: DataFrame, blocklist: Iterable[str]) -> DataFrame:
@@ -97,7 +102,7 @@ def evidence_chunks(evidence: DataFrame, relations: DataFrame, chunks: DataFrame
 
     Prefixes are measured only for quotes that no chunk contains.
     """
-    quotes = evidence.join(relations.select("relation_id", "document_id"), "relation_id").select("relation_id", "ev_pos", "document_id", F.trim("quote").alias("quote"))
+    quotes = evidence.join(relations.select("relation_id", "document_id"), "relation_id").select("relation_id", "ev_pos", "document_id", X.trimmed(F.col("quote")).alias("quote"))
     keys = ["relation_id", "ev_pos"]
     pairs = quotes.join(chunks.select("document_id", "chunk_id", "chunk_index", "text"), "document_id")
     exact = pairs.where(F.contains("text", "quote")).groupBy(*keys).agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"))

@@ -77,7 +77,7 @@ SHINGLE, BROADCAST_PASSAGES = 8, 100_000
 
 def _runs(text: Column) -> Column:
     """Hashes of all runs of words; the text is split once and the words are bound before the runs are cut."""
-    runs = lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
     return F.get(F.transform(F.array(F.split(text, r"(?U)\s+")), runs), F.lit(0))
 
 
@@ -97,11 +97,14 @@ def contained_passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The benchmark passages that a document contains, and for each document the first 60 characters of the next one."""
+    """The benchmark passages that a document contains, and for each document the first 60 characters of the next one.
+
+    Rows of one ``doc_id`` are documents of their own, each with the passages that its text has.
+    """
     docs, marks = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    told = contained_passages(docs, marks).join(marks, "item_id").select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("relation_id"), "quote")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.concat((F.col("doc_id") - 1).cast("string"), F.lit("-next")).alias("relation_id"), F.substring("text", 1, 60).alias("quote"))
-    rows = told.unionByName(after).join(docs, "doc_id")
+    told = contained_passages(docs, marks).join(marks, "item_id").select("doc_id", F.lit(True).alias("_in"), F.concat_ws("-", F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("relation_id"), "quote")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.lit(False).alias("_in"), F.concat((F.col("doc_id") - 1).cast("string"), F.lit("-next")).alias("relation_id"), F.substring("text", 1, 60).alias("quote"))
+    rows = told.unionByName(after).join(docs, "doc_id").where(~F.col("_in") | F.contains("text", F.col("quote")))
     return rows.select("relation_id", F.lit(0).alias("ev_pos"), F.col("doc_id").cast("string").alias("document_id"), "quote", "text")
 
 

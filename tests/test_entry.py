@@ -65,3 +65,17 @@ def test_hybrid_er_score_scores_all_customers(spark, tmp_path):
     want = sorted((x[0], y[0], round(score(x, y), 6)) for x in a for y in b if x[1][-4:] == y[1][-4:] and score(x, y) >= 0.5)
     got = sorted(tuple(r) for r in QUERIES["hybrid_er_score"](spark, str(tmp_path)).select("left_id", "right_id", "score").collect())
     assert got == want and any(x > 3000 for x, _, _ in want)
+
+
+def test_evidence_of_odd_texts_as_sql_has_it(spark, tmp_path):
+    passage = "a passage of ten words and more that some documents have word for word"
+    texts = ["first " + passage, "", "the third text which is longer than forty characters in all", None, " some text behind a hard space ", "some text behind a hard space, once more", "", f"{passage} and an end"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, f"of the same id: {passage}")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage), (2, "hard space")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("quote_checks", "overlap_prefix"):
+        got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
