@@ -315,3 +315,16 @@ def test_silhouette_of_many_clusters_is_taken_in_parts():
     inner = [gap[i, i ^ 1] for i in range(40)]
     outer = [min(gap[i, own == c].mean() for c in range(20) if c != own[i]) for i in range(40)]
     assert np.isclose(scans.silhouette(few, own), np.mean([(b - a) / max(a, b) for a, b in zip(inner, outer)]))
+
+
+def test_candidates_are_picked_without_sorting_all_rows(spark):
+    rel = spark.createDataFrame([("r2", "T", "def b", "second"), ("r1", "T", None, "first"), ("r1", "T", "def a", "first")], "relation_id string, label string, definition string, description string")
+    fil = spark.createDataFrame([("r2", 0, 0, "A", "x"), ("r1", 1, 0, "A", "y"), ("r1", 0, 1, "A", "z"), ("r0", 0, 0, "A", "of no relation"), ("r1", 0, 0, "", "no label")], "relation_id string, role_group int, pos int, label string, definition string")
+    found = ontology.candidates(rel, fil)
+    assert {(r["kind"], r["label"], r["definition"], r["source_description"]) for r in found.collect()} == {("relation", "T", None, "first"), ("entity", "A", "z", "first")}
+    rows = spark.createDataFrame([(None, 2, "b"), (None, 1, None), ("k", 3, "c")], "k string, n int, v string")
+    first = store.first_of_few(rows, ["k"], ["n"])
+    assert {tuple(r) for r in first.collect()} == {(None, 1, None), ("k", 3, "c")}
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "Sort" not in plan.replace("SortAggregate", "Sort")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
