@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom.config import DomainConfig
-from kgloom.operators import chunking, clustering, events, ontology, relations, resolution, retrieval, scans
+from kgloom.operators import chunking, clustering, events, ontology, relations, resolution, retrieval, scans, validation
 from kgloom.plans import pipeline
 from kgloom.sources import documents as sources
 from kgloom.sources import graph_store as store
@@ -328,3 +328,17 @@ def test_candidates_are_picked_without_sorting_all_rows(spark):
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" in plan and "Sort" not in plan.replace("SortAggregate", "Sort")
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_violations_are_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
+    def run(most):
+        monkeypatch.setattr(validation, "TASK_ROWS", most, raising=False)
+        rel = spark.range(60).select(F.col("id").cast("string").alias("relation_id"), F.lit("d").alias("document_id"), (F.col("id") / 60).alias("confidence"))
+        fil = rel.select("relation_id", F.explode(F.array(F.lit("agent"), F.lit("theme"))).alias("role"), F.lit(0).alias("role_group"), F.lit(0).alias("pos"), F.lit("A").alias("label"), F.col("relation_id").alias("name")).where("relation_id % 7 <> 0 or role = 'agent'")
+        ev = rel.select("relation_id", F.lit(0).alias("ev_pos"), F.lit("quote").alias("quote"), F.col("relation_id").alias("chunk_id"))
+        parts = rel.select(F.col("relation_id").alias("chunk_id"), "document_id", F.when(F.col("relation_id") % 5 > 0, "a quote").otherwise("none").alias("text"))
+        return validation.violations(DomainConfig(), rel, fil, ev, parts, rel.select("document_id").distinct().withColumn("text", F.lit("")))
+
+    small, whole = run(10), run(1000)
+    assert "RepartitionByExpression [relation_id" in (plan := small._jdf.queryExecution().optimizedPlan().toString()) and "], 6" in plan
+    assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect())) and small.count() > 60
