@@ -254,7 +254,7 @@ def hybrid_recall(spark, sf):
     k = F.col("id").cast("int")
     items = D.vectors(spark, sf).withColumn("name", F.concat(F.lit("word"), (k % 50).cast("string"), F.lit(" name"), (k % 7).cast("string")))
     asked = items.where(k % 20 == 0)
-    out = resolution.ranked(resolution.recalled(asked, items, 10, 2), asked, items, {"vector": 0.6, "jaro_winkler": 0.3, "edits": 0.1}, 0.8, 3, ["label"])
+    out = resolution.ranked(resolution.recalled(asked, items, 10, 2, ["label"]), asked, items, {"vector": 0.6, "jaro_winkler": 0.3, "edits": 0.1}, 0.8, 3, ["label"])
     return out.select("left_id", "right_id", F.round("score", 6).alias("score"), "rank")
 
 

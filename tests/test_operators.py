@@ -342,3 +342,13 @@ def test_violations_are_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
     small, whole = run(10), run(1000)
     assert "RepartitionByExpression [relation_id" in (plan := small._jdf.queryExecution().optimizedPlan().toString()) and "], 6" in plan
     assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect())) and small.count() > 60
+
+
+def test_recall_by_two_words_meets_on_both(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample(["the", "of", "alpha", "beta", "gamma", "delta"], rng.randint(1, 4))), i % 3, [1.0, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, name string, label long, embedding array<double>")
+    for least in (1, 2, 3):
+        out = resolution.recalled(df, df, 1, least, ["label"])
+        got = {(r["left_id"], r["right_id"]) for r in out.collect() if r["right_id"] != "0"}
+        assert got == {(str(a[0]), str(b[0])) for a in rows for b in rows if a[2] == b[2] and b[0] and len(set(a[1].split()) & set(b[1].split())) >= least}
