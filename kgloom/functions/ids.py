@@ -38,7 +38,8 @@ def json_object(fields: dict[str, Column], ascii_only: bool = True) -> Column:
 
 
 def content_id(fields: dict[str, Column], ascii_only: bool = True) -> Column:
-    return F.substring(F.sha2(json_object(fields, ascii_only), 256), 1, ID_DIGITS)
+    """Never null, and said so: else joins on ids would make each once more to see whether it is."""
+    return F.coalesce(F.substring(F.sha2(json_object(fields, ascii_only), 256), 1, ID_DIGITS), F.lit(""))
 
 
 def entity_id(label: Column, name: Column) -> Column:

@@ -69,3 +69,12 @@ def test_vectors(spark):
     row = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(V.cosine(F.col("a"), F.col("b")).alias("c"), V.normalised(F.col("a")).alias("n")).first()
     assert abs(row["c"] - np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-9
     assert abs(np.linalg.norm(row["n"]) - 1) < 1e-9
+
+
+def test_ids_are_known_not_to_be_null_and_escape_what_json_escapes(spark):
+
+    names = ["plain", 'q"', "b\\", "[x]", "tab\t", "\x00\x1f", "é", "日😀", "", None, "a~ !#"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.entity_id(F.lit("L]"), F.col("n")).alias("id"))
+    want = {n: hashlib.sha256(json.dumps({"label": "L]", "name": n or ""}, sort_keys=True).encode()).hexdigest()[:16] for n in names}
+    assert {r["n"]: r["id"] for r in df.collect()} == want
+    assert not df.schema["id"].nullable
